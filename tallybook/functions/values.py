@@ -5,31 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# FIXED VALUES: three-letter month keys in calendar order, and two-digit years,
-# which stand for 1976 to 2075.
-_MONTH_KEYS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_FIRST_YEAR = 1976
-
+# FIXED VALUES: month words, and two-digit years, which stand for 1976 to 2075.
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _MONTH_WORD = (
-    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-    r"sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+    r"(?=(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
+    r"sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![a-z]))([a-z]{3})[a-z]*\.?"
 )
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _TIME = r"[ t]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]m)?$"
-_YEAR_FIRST = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"
-_NUMERIC = r"^\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2})$"
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+_NUMERIC = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
 _DAY_MONTH = r"^(\d{1,2})(?:st|nd|rd|th)?[-/. ]*" + _MONTH_WORD + r"[-/., ]*(\d{4}|\d{2})$"
-_MONTH_DAY = r"^" + _MONTH_WORD + r"[-/. ]*(\d{1,2})(?:st|nd|rd|th)?(?:[-/., ]+)(\d{4}|\d{2})$"
-
+_MONTH_DAY = r"^" + _MONTH_WORD + r"[-/. ]*(\d{1,2})(?:st|nd|rd|th)?[-/., ]+(\d{4}|\d{2})$"
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    """A date from text parts; null when there is no such day."""
-    short = year.try_cast("int")
-    full = F.when(F.length(year) == 2, short + F.when(short >= _FIRST_YEAR % 100, 1900).otherwise(2000))
-    return F.concat_ws("-", F.coalesce(full.cast("string"), year), month, day).try_cast("date")
 
-
-def _month_number(word: Column) -> Column:
-    return F.format_string("%d", ((F.instr(F.lit(_MONTH_KEYS), F.substring(word, 1, 3)) + 2) / 3).cast("int"))
+def _as_day(ymd: Column) -> Column:
+    """``y-m-d`` text with a year of two or four digits to a date, all else to null."""
+    full = F.regexp_replace(ymd, r"^(7[6-9]|[89]\d)-", "19$1-")
+    full = F.regexp_replace(full, r"^(\d{2})-", "20$1-")
+    return F.regexp_extract(full, _ISO, 0).try_cast("date")
 
 
 def parse_date(value: Column) -> Column:
@@ -38,31 +32,21 @@ def parse_date(value: Column) -> Column:
     Understood, each with an optional time of day: ``2026-01-31`` (also ``/``, ``.``),
     ``01/31/2026`` with month first and day first as fallback, ``31 Jan 2026``,
     ``31-Jan-26``, ``Jan 31, 2026`` and the full month names.
+
+    Each form is rewritten to ISO by one pattern, which leaves other forms alone; that
+    needs no formatter and throws nothing on bad rows.  ISO text takes a short path.
     """
-    text = F.lower(F.trim(value.cast("string")))
-    text = F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, _TIME, "")).otherwise(text)
-    part = F.split(text, r"[-/.]")
-    first, second, third = part[0], part[1], part[2]
-    named = r"[a-z]"
-
-    def group(pattern: str, index: int) -> Column:
-        return F.regexp_extract(text, pattern, index)
-
-    return (
-        F.when(F.rlike(text, F.lit(_YEAR_FIRST)), F.concat_ws("-", part).try_cast("date"))
-        .when(
-            F.rlike(text, F.lit(_NUMERIC)),
-            F.coalesce(_ymd(third, first, second), _ymd(third, second, first)),
-        )
-        .when(~F.rlike(text, F.lit(named)), F.lit(None).cast("date"))
-        .when(
-            F.rlike(text, F.lit(_DAY_MONTH)),
-            _ymd(group(_DAY_MONTH, 3), _month_number(group(_DAY_MONTH, 2)), group(_DAY_MONTH, 1)),
-        )
-        .when(
-            F.rlike(text, F.lit(_MONTH_DAY)),
-            _ymd(group(_MONTH_DAY, 3), _month_number(group(_MONTH_DAY, 1)), group(_MONTH_DAY, 2)),
-        )
+    raw = value.cast("string")
+    text = F.regexp_replace(F.lower(F.trim(raw)), _TIME, "")
+    ymd = F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3")
+    ymd = F.regexp_replace(ymd, _NUMERIC, "$3-$1-$2")
+    ymd = F.regexp_replace(ymd, _DAY_MONTH, "$3-$2-$1")
+    ymd = F.regexp_replace(ymd, _MONTH_DAY, "$3-$1-$2")
+    for number, word in enumerate(_MONTHS, 1):
+        ymd = F.replace(ymd, F.lit(f"-{word}-"), F.lit(f"-{number}-"))
+    day_first = F.regexp_replace(text, _NUMERIC, "$3-$2-$1")
+    return F.when(F.rlike(raw, F.lit(_ISO)), raw.try_cast("date")).otherwise(
+        F.coalesce(_as_day(ymd), _as_day(day_first))
     )
 
 

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from tallybook import vocab
 from tallybook.functions.text import contains_any
+from tallybook.functions.words import first_group, words_inside
 
 Rules = Mapping[str, Sequence[str]]
 
 
 def category_of(description: Column, rules: Rules | None = None) -> Column:
-    """Category expression for fixed rules; stays in generated code, no shuffle."""
+    """Category of a description, matched in one pass over the text."""
+    return first_group(description, rules or vocab.RULES, vocab.UNCATEGORIZED)
+
+
+def category_case(description: Column, rules: Rules | None = None) -> Column:
+    """The same as built-in expressions only; fine for short rule lists."""
     text = F.lower(description)
     branches = [
         F.when(contains_any(text, [k.lower() for k in keywords]), category)
@@ -37,23 +43,26 @@ def rules_table(spark: SparkSession, rules: Rules | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, category string, keyword string")
 
 
-def _rule_list(rules: DataFrame) -> Column:
-    """All rules as one sorted array, read once per query as a scalar subquery."""
-    entry = F.struct("priority", "category", F.lower("keyword").alias("keyword"))
-    return rules.agg(F.array_sort(F.collect_list(entry))).scalar()
+def read_rules(rules: DataFrame) -> list[tuple[int, str, str]]:
+    """The rule table as a list, in the order rules apply.
+
+    Rules are settings that people edit, so they are read whole; nothing that grows
+    with the ledger goes through here.
+    """
+    rows = rules.select("priority", "category", F.lower("keyword").alias("keyword")).toLocalIterator()
+    return sorted((r["priority"], r["category"], r["keyword"]) for r in rows)
 
 
 def with_category_from_table(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Like :func:`with_category` with rules that are a table (a few thousand rows).
+    """Like :func:`with_category` with rules from a table, in ``priority`` order.
 
-    The table becomes one array value and each row tests it in place, instead of
-    joining every row with every rule and grouping the matches again.
+    A category may own several priorities.
     """
-    text = F.lower("description")
-    first = F.try_element_at(
-        F.filter(_rule_list(rules), lambda r: F.contains(text, r["keyword"])), F.lit(1)
-    )
-    return df.withColumn("category", F.coalesce(first["category"], F.lit(vocab.UNCATEGORIZED)))
+    listed = read_rules(rules)
+    found = words_inside(F.col("description"), [keyword for _, _, keyword in listed])
+    names = F.array(*[F.lit(category) for _, category, _ in listed])
+    first = F.try_element_at(names, F.try_element_at(found, F.lit(1)) + 1)
+    return df.withColumn("category", F.coalesce(first, F.lit(vocab.UNCATEGORIZED)))
 
 
 def category_distribution(categorized: DataFrame) -> DataFrame:
@@ -80,53 +89,43 @@ def rule_audit(df: DataFrame, rules: DataFrame) -> DataFrame:
     such a keyword can never decide a row.  Descriptions are counted first, so only
     distinct texts are matched, and only matching keywords become rows.
     """
-    rule_list = _rule_list(rules)
-    texts = df.groupBy(F.lower("description").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    matched = texts.withColumn(
-        "rule", F.filter(rule_list, lambda r: F.contains(F.col("text"), r["keyword"]))
-    )
+    listed = read_rules(rules)
+    texts = df.groupBy("description").agg(F.count(F.lit(1)).alias("n"))
+    found = words_inside(F.col("description"), [keyword for _, _, keyword in listed])
     used = (
-        matched.select("n", F.posexplode("rule").alias("place", "rule"))
-        .groupBy(
-            F.col("rule.priority").alias("priority"), F.col("rule.keyword").alias("keyword")
-        )
+        texts.select("n", F.posexplode(found).alias("place", "rule"))
+        .groupBy("rule")
         .agg(
             F.sum("n").alias("n_rows"),
             F.sum(F.when(F.col("place") == 0, F.col("n")).otherwise(0)).alias("n_decided"),
         )
     )
-    listed = rules.select("priority", "category", F.lower("keyword").alias("keyword"))
-    earlier = F.try_element_at(
-        F.filter(
-            rule_list,
-            lambda r: (r["priority"] < F.col("priority"))
-            & F.contains(F.col("keyword"), r["keyword"]),
-        ),
-        F.lit(1),
+    rows = []
+    for number, (priority, category, keyword) in enumerate(listed):
+        owner = next((c for p, c, k in listed if p < priority and k in keyword), None)
+        rows.append((number, priority, category, keyword, owner))
+    audit = df.sparkSession.createDataFrame(
+        rows, "rule int, priority int, category string, keyword string, shadowed_by string"
     )
-    return (
-        listed.withColumn("shadowed_by", earlier["category"])
-        .join(used, ["priority", "keyword"], "left")
-        .select(
-            "priority", "category", "keyword", "shadowed_by",
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-            F.coalesce("n_decided", F.lit(0)).alias("n_decided"),
-        )
+    return audit.join(used, "rule", "left").select(
+        "priority", "category", "keyword", "shadowed_by",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("n_decided", F.lit(0)).alias("n_decided"),
     )
 
 
 def spot_check(categorized: DataFrame, fragments: Sequence[str], rules: Rules | None = None) -> DataFrame:
     """First transaction (by date) for each fragment, else the fragment's own category."""
     spark = categorized.sparkSession
-    text = F.lower("description")
-    tests = [F.when(F.contains(text, F.lit(f.lower())), F.lit(f)) for f in fragments]
+    names = F.array(*[F.lit(f) for f in fragments])
+    found = words_inside(F.col("description"), fragments)
     first = (
         categorized.select(
-            F.explode(F.array_compact(F.array(*tests))).alias("fragment"),
-            "date", "description", "category",
+            F.explode(found).alias("place"), "date", "description", "category",
         )
-        .groupBy("fragment")
+        .groupBy("place")
         .agg(F.min(F.struct("date", "description", "category")).alias("row"))
+        .select(F.try_element_at(names, F.col("place") + 1).alias("fragment"), "row")
     )
     wanted = spark.createDataFrame([(f,) for f in fragments], "fragment string")
     return (

@@ -104,14 +104,28 @@ def _as_date(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("date") if typed else parse_date(F.col(column))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` evaluated once, also when later filters use them.
+
+    Catalyst moves a filter below a plain projection by repeating its expressions
+    there, so parsing would run twice per row.  It does not move one below a
+    generator, and a generator of one row stays inside the generated code.
+    """
+    rest = [F.col(c) for c in df.columns if c not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*rest, F.inline(F.array(row))).select(
+        *df.columns, *[c for c in columns if c not in df.columns]
+    )
+
+
 def parse_dates(df: DataFrame) -> DataFrame:
     """``date`` as DATE; rows without a readable date are dropped."""
-    return df.withColumn("date", _as_date(df, "date")).where(F.col("date").isNotNull())
+    return computed(df, date=_as_date(df, "date")).where(F.col("date").isNotNull())
 
 
 def parse_amounts(df: DataFrame) -> DataFrame:
     """``amount`` as DOUBLE; rows without a readable amount are dropped."""
-    return df.withColumn("amount", _as_amount(df, "amount")).where(F.col("amount").isNotNull())
+    return computed(df, amount=_as_amount(df, "amount")).where(F.col("amount").isNotNull())
 
 
 def clean_descriptions(df: DataFrame) -> DataFrame:
@@ -136,24 +150,26 @@ def clean_ledger(
 ) -> DataFrame:
     """The whole chain: ``date, description, amount, transaction_type`` (+ ``keep``)."""
     return (
-        normalize_columns(raw, aliases, keep)
-        .transform(parse_dates)
-        .transform(parse_amounts)
-        .transform(clean_descriptions)
+        _parsed(normalize_columns(raw, aliases, keep))
+        .where(F.col("date").isNotNull() & F.col("amount").isNotNull())
         .transform(with_transaction_type)
         .transform(drop_non_transactions)
         .select(*LEDGER_COLUMNS, *keep)
     )
 
 
+def _parsed(df: DataFrame) -> DataFrame:
+    return computed(
+        df,
+        date=_as_date(df, "date"),
+        amount=_as_amount(df, "amount"),
+        description=clean_description(F.col("description")),
+    )
+
+
 def with_reject_reason(raw: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """Parsed columns plus why a row is not in the clean ledger (null: it is)."""
-    df = normalize_columns(raw, aliases)
-    parsed = df.select(
-        _as_date(df, "date").alias("date"),
-        clean_description(F.col("description")).alias("description"),
-        _as_amount(df, "amount").alias("amount"),
-    )
+    parsed = _parsed(normalize_columns(raw, aliases))
     blank = F.col("description").isNull() | (F.col("description") == "")
     return parsed.withColumn(
         "reason",

@@ -175,12 +175,12 @@ signed AS (
 SHOWN = "CASE WHEN starts_with(description, 'shop') THEN 'Shop' || substr(description, 5) WHEN description = '@none' THEN '@None' ELSE description END"
 
 
-def _title(column: str) -> str:
+def _title(chars: str) -> str:
     """Title case letter by letter: upper after every character that is no letter."""
     letter = r"'[\p{Lu}\p{Ll}\p{Lt}]'"
-    return f"""array_to_string(list_transform(string_split(lower({column}), ''),
-      lambda ch, i: CASE WHEN i = 1 OR NOT regexp_matches(string_split(lower({column}), '')[i - 1], {letter})
-                         THEN upper(ch) ELSE ch END), '')"""
+    return f"""array_to_string(list_transform({chars},
+      lambda ch, i: CASE WHEN i > 1 AND regexp_matches({chars}[i - 1], {letter}) THEN ch
+                         WHEN ch = 'ß' THEN 'Ss' ELSE upper(ch) END), '')"""
 
 
 def _category_case(column: str) -> str:
@@ -209,7 +209,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)
 
 def _knn(label: str, k: int, where: str = "true") -> str:
     return f"""WITH {KNN_DIMS.format(label=label, where=where)}
-SELECT query_id, vec_id, label, round(dist, 4) AS distance, rank FROM r WHERE rank <= {k}"""
+SELECT query_id, vec_id, label, round(dist, 4) AS distance, cast(rank AS int) AS rank FROM r WHERE rank <= {k}"""
 
 
 BASE = f"""WITH {LEDGER},
@@ -266,13 +266,14 @@ def all_sql() -> dict[str, str]:
             min(date) AS first_date, max(date) AS last_date FROM ledger""",
         "norm_aliases": f"""WITH {TYPED}, t AS (SELECT trim(CASE WHEN damage = 'blank' THEN ' ' WHEN l_suppkey % 3 = 0 THEN upper(description)
               WHEN l_suppkey % 3 = 1 THEN lower(description) ELSE replace(description, ' ', '   ') END) AS text,
-              damage <> 'date' AND l_linenumber % 3 = 1 AS named_month, damage FROM typed)
-            SELECT text, named_month, count(*) AS n, count(*) FILTER (damage <> 'amount') AS n_symbol FROM t GROUP BY 1, 2""",
+              damage <> 'date' AND l_linenumber % 3 = 1 AS named_month,
+              damage <> 'amount' AND NOT (l_suppkey % 3 = 0 AND amount < 0) AS symbol FROM typed)
+            SELECT text, named_month, count(*) AS n, count(*) FILTER (symbol) AS n_symbol FROM t GROUP BY 1, 2""",
         "norm_split_amount": f"""WITH {TYPED} SELECT strftime(date, '%Y-%m-%d 00:00:00') AS date, description, amount FROM typed""",
         "norm_dates": f"WITH {TYPED} SELECT date, count(*) AS n FROM typed WHERE damage <> 'date' GROUP BY 1",
         "norm_amounts": f"WITH {TYPED} SELECT amount, count(*) AS n FROM typed WHERE damage <> 'amount' GROUP BY 1",
         "norm_descriptions": f"""WITH {TYPED}, d AS (SELECT CASE WHEN damage = 'blank' THEN '' ELSE description END AS description FROM typed
-              UNION ALL SELECT {_title("trim(regexp_replace(text, '[\\s\\x1c-\\x1f\\p{Z}]+', ' ', 'g'))")} FROM documents)
+              UNION ALL SELECT {_title("cs")} FROM (SELECT string_split(lower(trim(regexp_replace(text, '[\\s\\x1c-\\x1f\\p{{Z}}]+', ' ', 'g'))), '') AS cs FROM documents))
             SELECT description, count(*) AS n FROM d GROUP BY 1""",
         "norm_txn_type": f"""WITH {TYPED} SELECT description, CASE WHEN amount > 0 THEN 'credit' ELSE 'debit' END AS transaction_type,
             count(*) AS n, min(amount) AS low, max(amount) AS high FROM typed GROUP BY 1, 2""",
@@ -360,8 +361,8 @@ def all_sql() -> dict[str, str]:
                 'about these specific rows.'] END AS ls FROM answers WHERE count > 0)
             SELECT question_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
             UNION ALL SELECT question_id, 3, i - 1, ls[i] FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM closing)
-            UNION ALL SELECT question_id, 2, rank - 1, '  [' || lpad(cast(rank AS varchar), greatest(2, len(cast(rank AS varchar))), '0') || '] ' || cast(date AS varchar) || '  |  ' ||
-              rpad(description, greatest(45, len(description)), ' ') || '  |  ₹' || format('{{:>10}}', format('{{:,.2f}}', abs(amount))) || '  |  ' || category || '  |  ' || transaction_type
+            UNION ALL SELECT question_id, 2, rank - 1, '  [' || lpad(cast(rank AS varchar), cast(greatest(2, len(cast(rank AS varchar))) AS int), '0') || '] ' || cast(date AS varchar) || '  |  ' ||
+              rpad(description, cast(greatest(45, len(description)) AS int), ' ') || '  |  ₹' || format('{{:>10}}', format('{{:,.2f}}', abs(amount))) || '  |  ' || category || '  |  ' || transaction_type
             FROM evidence""",
         "category_summary": f"""{BASE}, c AS (SELECT category, {_sum('amount')} AS total, count(*) AS txn_count FROM ledger GROUP BY 1),
             b AS (SELECT abs(sum(total)) AS base FROM c WHERE category NOT IN ('Income', 'Savings/Transfer')),
