@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +46,14 @@ def embedding_of(text: Column, factory: EmbedderFactory | None = None) -> Column
     """``array<float>`` for a text column; the model is loaded once per task."""
     make = factory or hashed_tokens()
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for texts in batches:
-            yield pd.Series(list(model(texts.tolist())), index=texts.index)
+            matrix = np.ascontiguousarray(model(texts.to_pylist()), dtype=np.float32)
+            width = matrix.shape[1]
+            starts = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(starts, pa.array(matrix.reshape(-1)))
 
     return embed(text)
 
@@ -80,21 +82,31 @@ def cosine_distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def candidate_scan(
-    query_ids: pa.Array, queries: np.ndarray, k: int, vector_column: str, id_column: str, schema: pa.Schema
+    query_ids: pa.Array,
+    queries: np.ndarray,
+    k: int,
+    vector_column: str,
+    id_column: str,
+    schema: pa.Schema,
+    factory: EmbedderFactory | None = None,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A partition scan that passes on the rows that can be among a query's k nearest.
 
-    Per query it only remembers the k smallest distances so far, so a partition of
-    any size needs one Arrow batch of memory.  Of many rows at one distance in a
-    batch the k with the lowest ids go on, as the final ranking orders ties by id.
+    ``vector_column`` holds vectors, or texts when there is a ``factory``; texts are
+    embedded on the spot, so their vectors never leave the worker.  Per query the scan
+    only remembers the k smallest distances so far, so a partition of any size needs
+    one Arrow batch of memory.  Of many rows at one distance in a batch the k with the
+    lowest ids go on, as the final ranking orders ties by id.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(queries), k), np.inf)
+        model = factory() if factory else None
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_column)).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
-            matrix = to_matrix(batch.column(batch.schema.get_field_index(vector_column)))
+            source = batch.column(batch.schema.get_field_index(vector_column))
+            matrix = model(source.to_pylist()).astype(np.float64) if model else to_matrix(source)
             step = max(1, _CELLS_AT_ONCE // max(1, len(queries)))
             for start in range(0, len(matrix), step):
                 distances = cosine_distances(matrix[start:start + step], queries)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook import vocab
-from tallybook.functions.vectors import candidate_scan, to_matrix
+from tallybook.functions.vectors import EmbedderFactory, candidate_scan, hashed_tokens, to_matrix
 
 # Query vectors one pass over the index holds in every Python worker; more queries
 # mean more passes.
@@ -36,6 +36,8 @@ def nearest(
     query_id: str = "query_id",
     row_id: str = "vec_id",
     vector: str = "embedding",
+    text: str | None = None,
+    factory: EmbedderFactory | None = None,
 ) -> DataFrame:
     """The ``k`` nearest index rows of every query: ``query_id, rank, distance, <row>``.
 
@@ -43,18 +45,21 @@ def nearest(
     shuffled or paired up row by row: a task multiplies its Arrow batches with the
     query matrix and passes on only rows that can still be among the nearest.  Ranks
     follow the distance (to 9 places), then ``row_id``.  Filter the index before the
-    call to rank among matching rows only.
+    call to rank among matching rows only.  An index without stored vectors names its
+    ``text`` column, which is embedded during the scan by the ``factory``.
     """
-    columns = [f for f in index.schema.fields if f.name != vector]
+    source_column = text or vector
+    columns = [f for f in index.schema.fields if f.name != source_column]
     schema = T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
         T.StructField("distance", T.DoubleType()),
         *columns,
     ])
     arrow_schema = to_arrow_schema(schema)
-    source = index.where(F.col(vector).isNotNull())
+    source = index.where(F.col(source_column).isNotNull())
+    model = (factory or hashed_tokens()) if text else None
     scans = [
-        source.mapInArrow(candidate_scan(ids, matrix, k, vector, row_id, arrow_schema), schema)
+        source.mapInArrow(candidate_scan(ids, matrix, k, source_column, row_id, arrow_schema, model), schema)
         for ids, matrix in _query_blocks(queries.select(query_id, vector), query_id)
     ]
     if not scans:

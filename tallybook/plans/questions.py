@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook import vocab
+from tallybook.operators.clean import computed
 from tallybook.functions.text import (
     contains_any,
     contains_word,
@@ -95,14 +96,13 @@ def plan_questions(
     text = F.col("question")
     no_names = F.array().cast("array<string>")
     no_numbers = F.array().cast("array<int>")
-    found = questions.withColumns({
-        "intent": intent_of(text),
-        "merchant": merchant_of(text, brands),
-        "_numbers": month_numbers_of(text),
-        "_year": year_of(text),
-    }).withColumn(
-        "categories",
-        F.when(F.col("merchant").isNotNull(), no_names).otherwise(categories_of(text, triggers)),
+    merchant = computed(questions, merchant=merchant_of(text, brands))
+    found = computed(
+        merchant,
+        intent=intent_of(text),
+        _numbers=month_numbers_of(text),
+        _year=year_of(text),
+        categories=F.when(F.col("merchant").isNotNull(), no_names).otherwise(categories_of(text, triggers)),
     )
     dated = found.withColumns({
         "months": F.when(

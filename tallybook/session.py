@@ -51,3 +51,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "part")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that is stored in fewer pieces than there are cores.
+
+    A small file with one row group is one task, however many cores wait.  A table of
+    many pieces, as any large one, is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,12 +7,13 @@ the engine cleaned with values that never were text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook import vocab
 from tallybook.operators.categorize import with_category
 from tallybook.operators.clean import with_transaction_type
+from tallybook.session import materialize, spread
 
 # m_id, description, sign, category
 MERCHANTS = [
@@ -127,7 +128,7 @@ def _path(sf: str, name: str) -> str:
 
 
 def typed(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(typed_sql(_path(sf, "lineitem"), spark=True))
+    return spread(spark.sql(typed_sql(_path(sf, "lineitem"), spark=True)))
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +176,7 @@ def raw_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """One document per order; order number modulo 5 tells its kind of table.
+    """One document per order, as a stored table; its number modulo 5 tells its kind.
 
     0, 1: date, description, amount with a header that repeats; 2: debit and credit
     columns; 3: no header, an extra reference column; 4: nothing usable.
@@ -210,12 +211,10 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
             F.struct(F.lit(20).cast("bigint").alias("place"), F.transform(header, lambda c: F.lit(None).cast("string")).alias("cells")),
         )).alias("row"),
     ).select("doc_id", "table_no", "row.*")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id", "table_no").orderBy("place", "cells")
-    return rows.unionByName(extra).select(
+    return materialize(rows.unionByName(extra).select(
         "doc_id", "table_no", (F.row_number().over(order) - 1).cast("bigint").alias("row_no"), "cells"
-    )
+    ))
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +222,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
     A signup response repeats its record; an error response has no amount.
     """
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     day = F.date_format("ts", "yyyy-MM-dd")
     kind = F.col("event_type")
     amount = F.when(kind == "error", F.lit("abc")).when(
@@ -252,7 +251,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(questions_sql(_path(sf, "events"), _path(sf, "conversations"), spark=True))
+    return spread(spark.sql(questions_sql(_path(sf, "events"), _path(sf, "conversations"), spark=True)))
 
 
 def case_list(spark: SparkSession) -> DataFrame:
@@ -287,7 +286,7 @@ def golden_questions(spark: SparkSession) -> DataFrame:
 
 def answers_text(spark: SparkSession, sf: str) -> DataFrame:
     """A model answer per order: stated on the answer line, in prose, or not at all."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     total = F.col("o_totalprice")
     said = F.format_string("₹%,.2f", F.when(F.col("o_orderpriority") == "1-URGENT", total - 5).otherwise(total))
     text = (

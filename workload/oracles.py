@@ -320,8 +320,10 @@ def all_sql() -> dict[str, str]:
         "knn_topk": _knn("0", vocab.TOP_K),
         "knn_join": _knn("label", vocab.TOP_K),
         "knn_filtered": _knn("label", 5, "label IN (1, 2, 3)"),
-        "embed_chunks": f"""WITH {INDEX}, chunks AS (SELECT txn_id, {CHUNK} AS chunk FROM idx), cb AS ({_buckets('chunks', 'txn_id', 'chunk')})
-            SELECT cast(b AS int) AS place, count(*) AS n_chunks, sum(n) AS n_tokens FROM cb GROUP BY 1""",
+        "embed_chunks": f"""WITH {INDEX}, chunks AS (SELECT txn_id, {CHUNK} AS chunk FROM idx), cb AS ({_buckets('chunks', 'txn_id', 'chunk')}),
+            full_rows AS (SELECT c.txn_id, c.chunk, i, coalesce(cast(cb.n AS int), 0) AS n FROM chunks c CROSS JOIN range(0, {vocab.EMBEDDING_DIM}) AS r(i)
+                          LEFT JOIN cb ON cb.k = c.txn_id AND cb.b = i)
+            SELECT chunk, string_agg(cast(n AS varchar), ',' ORDER BY i) AS embedding FROM full_rows GROUP BY txn_id, chunk""",
         "eval_expected_rows": f"WITH {LEDGER}, {CASES}, {EXPECTED} SELECT * FROM expected",
         "eval_key_join": f"WITH {EVAL} SELECT * FROM overlap",
         "answer_confidence": f"WITH {GOLDEN_HITS}, {ANSWERS} SELECT * FROM answers",
