@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,3 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` (short) rows.
+
+    Made for tables whose size Spark cannot know in advance, such as planned
+    questions.  Counting stops after ``max_rows``; a larger table joins by shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
