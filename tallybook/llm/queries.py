@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import chat, mixing
+from tallybook.llm import chat, mixing, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,24 @@ SELECT conv_id, count(*) AS n_turns,
   AND arg_max(role, n) IN ('user', 'assistant') AS valid
 FROM marked GROUP BY conv_id
 """
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return simhash.with_next(_table(spark, sf, "documents", "doc_id", "text"), pieces)
+
+
+@query("op6_find_pii")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf, "documents", "doc_id", "text"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [
+        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    base = F.filter("spans", lambda s: s["found"] == "base")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
