@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import chat, mixing, pii, simhash
+from tallybook.llm import chat, hmm, language, mixing, pii, simhash
+from tallybook.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,9 +118,31 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [
-        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-        for kind in pii.KINDS
-    ]
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [counted(kind) for kind in pii.KINDS]
     base = F.filter("spans", lambda s: s["found"] == "base")
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _vocabulary() -> str:
+    """Path of the public vocabulary that the query uses; operators take it as an argument."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text", "lang")
+    held_out = crc_of(F.col("doc_id")) % 5 == 0
+    languages, model = language.fit(docs.where(~held_out), _vocabulary())
+    found = language.predict(docs.select("doc_id", "text"), _vocabulary(), languages, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_hmm_score")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    return hmm.score(docs.withColumn("held_out", crc_of(F.col("doc_id")) % 5 == 1))
