@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import chat, hmm, language, mixing, pii, simhash
+from tallybook.llm import chat, hmm, language, mixing, neardup, pii, simhash
 from tallybook.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents", "doc_id", "text")
     return hmm.score(docs.withColumn("held_out", crc_of(F.col("doc_id")) % 5 == 1))
+
+
+@query("op7_near_duplicates")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf, "documents", "doc_id", "text"))
