@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import chat, hmm, language, mixing, neardup, pii, simhash
+from tallybook.llm import chat, decontam, hmm, language, mixing, neardup, pii, quality, simhash
 from tallybook.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,15 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_near_duplicates")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text", "source", "lang")
+    found = quality.classify(docs, _table(spark, sf, "labels", "doc_id", "quality"))
+    return found.select("doc_id", "source", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf, "documents", "doc_id", "text"), _table(spark, sf, "benchmark", "item_id", "text"))
