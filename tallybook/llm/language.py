@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import map_batches
@@ -122,18 +122,17 @@ def has_letter(text: str) -> bool:
 def fit(labelled: DataFrame, path: str, per_language: int = 2000, rounds: int = 3, longest: int = 8) -> tuple[list[str], np.ndarray]:
     """Languages (by code point) and probabilities of pieces, learned from (doc_id, text, lang).
 
-    Fitted on a bounded sample: at most ``per_language`` documents of each language, those
-    with the smallest hash of their id and text.  Expected counts of pieces over all
+    Fitted on a bounded sample: about ``per_language`` documents of each language, chosen by
+    the hash of their text (one row a language is broadcast).  Expected counts of pieces over all
     segmentations are added up across partitions in each of ``rounds`` passes; words over
     64 bytes are left out of the sample.  Rows without text or language teach nothing.
     """
     spark = labelled.sparkSession
     pieces = read_pieces(path, longest)
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    # The limit is taken within each partition before the rows of a language meet.
-    order = Window.partitionBy("lang").orderBy("key")
-    chosen = rows.select("lang", "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    rows = rows.join(F.broadcast(chosen.select("lang", "key").distinct()), ["lang", "key"])
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = sizes.select("lang", F.least(F.lit(1_000_000), F.ceil(1_000_000 * per_language / F.col("n"))).alias("share"))
+    rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
