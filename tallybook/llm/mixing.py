@@ -94,3 +94,23 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
     return rows.select(
         "doc_id", "source", "source_key", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + cut).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, source, text and others) that the mix takes words of.
+
+    The same columns and ``mix_target`` (of the source, in words), ``mix_taken`` (words of
+    this document, repeats counted; the last document of a source may give only its first
+    words).  A document is found again by its id, source and size; repeated rows are alike.
+    """
+    taken = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    # Rows that agree in all three are alike but for the one on the border: number them.
+    same = Window.partitionBy("doc_id", "_source", "_size").orderBy(F.desc("_taken"))
+    plan = taken.select("doc_id", F.col("source_key").alias("_source"), F.col("size").alias("_size"), F.col("target").alias("mix_target"), F.col("taken").alias("_taken"))
+    plan = plan.withColumn("_copy", F.row_number().over(same))
+    mine = Window.partitionBy("doc_id", "_source", "_size").orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("_source", source_key(F.col("source"))).withColumn("_size", n_words(F.col("text")))
+    rows = rows.withColumn("_copy", F.row_number().over(mine))
+    on = [rows["doc_id"].eqNullSafe(plan["doc_id"]), *(rows[c] == plan[c] for c in ("_source", "_size", "_copy"))]
+    return rows.join(plan, on).where("_taken > 0").select(
+        *(rows[c] for c in docs.columns), plan["mix_target"], plan["_taken"].alias("mix_taken"))

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import WordHashes, map_batches, shingles, words_of
+from tallybook.llm.common import WORD, WordHashes, map_batches, shingles, words_of
 from tallybook.session import materialize
 
 #: A null id counts as the smallest one.
@@ -42,7 +42,9 @@ def least_shared(n: int, sketch: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, size: int, sketch: int) -> DataFrame:
-    """Documents (id, text) to ``id, n_shingles, node, values`` in the shared folder.
+    """Documents (id, text) to ``id, copy, n_shingles, node, values`` in the shared folder.
+
+    ``copy`` is a hash of the text, which tells apart rows of one id.
 
     ``values`` are the ``sketch`` smallest hashes of the set, from one hash function.
     """
@@ -52,11 +54,12 @@ def sketches(docs: DataFrame, size: int, sketch: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, known, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array([node_of(s) for s in sets], pa.binary()),
+                [batch.column("id"), batch.column("copy"), pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array([node_of(s) for s in sets], pa.binary()),
                  pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "node", "values"])
+                names=["id", "copy", "n_shingles", "node", "values"])
 
-    return materialize(map_batches(docs, work, "id bigint, n_shingles bigint, node binary, values array<bigint>"))
+    rows = docs.select("id", "text", F.xxhash64("text").alias("copy"))
+    return materialize(map_batches(rows, work, "id bigint, copy bigint, n_shingles bigint, node binary, values array<bigint>"))
 
 
 def inverted_lists(sets: DataFrame, sketch: int, percent: int) -> DataFrame:
@@ -186,7 +189,7 @@ def verified_links(units: DataFrame, docs: DataFrame, ids: DataFrame, size: int,
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
-    """(node, name): the smallest name of all nodes that links reach; linked nodes only.
+    """(node, label): the smallest (name, node) of all nodes that links reach; linked nodes only.
 
     Each round a node takes the smallest label of its neighbours and itself, then the label
     of the node that had given that label (so paths halve); every round is written to the
@@ -203,7 +206,31 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
         moved = new.where("moved").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
-            return labels.select("node", F.col("label.name").alias("name"))
+            return labels
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))
+
+
+def resolved(rows: DataFrame, size: int, percent: int, sketch: int, block: int) -> DataFrame:
+    """(id, text) to ``id, copy, n_shingles, component, group`` with one row per row.
+
+    ``group`` is null without shingles; groups are told apart by it, as ids may repeat.
+    """
+    sets = sketches(rows, size, sketch)
+    filled = sets.where("n_shingles > 0")
+    names = materialize(filled.groupBy("node").agg(F.min("id").alias("name")))
+    classes = filled.join(names, [filled.node == names.node, filled.id == names.name], "left_semi").dropDuplicates(["node"])
+    lists = materialize(inverted_lists(classes, sketch, percent))
+    units = materialize(comparison_units(lists, block))
+    links = verified_links(units, rows, names.withColumnRenamed("name", "id"), size, sketch, percent)
+    found = components(links, names)
+    own = F.struct("name", "node")
+    named = names.join(found, "node", "left").select("node", F.coalesce("label", own).alias("label"))
+    return filled.select("id", "copy", "n_shingles", "node").join(named, "node").select(
+        "id", "copy", "n_shingles", F.col("label.name").alias("component"), F.col("label.node").alias("group")
+    ).union(sets.where("n_shingles = 0").select("id", "copy", "n_shingles", F.col("id").alias("component"), F.lit(None).cast("binary").alias("group")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, sketch: int = 64, block: int = 512) -> DataFrame:
@@ -217,18 +244,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, sketch: i
     nothing, not even each other.  A null id counts as the smallest; repeated rows are copies;
     other columns are ignored.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("id"), "text")
-    sets = sketches(rows, size, sketch)
-    filled = sets.where("n_shingles > 0")
-    names = materialize(filled.groupBy("node").agg(F.min("id").alias("name")))
-    classes = filled.join(names, [filled.node == names.node, filled.id == names.name], "left_semi").dropDuplicates(["node"])
-    lists = materialize(inverted_lists(classes, sketch, percent))
-    units = materialize(comparison_units(lists, block))
-    links = verified_links(units, rows, names.withColumnRenamed("name", "id"), size, sketch, percent)
-    found = components(links, names)
-    named = names.join(found.withColumnRenamed("name", "reached"), "node", "left").select("node", F.coalesce("reached", "name").alias("component"))
-    out = filled.select("id", "n_shingles", "node").join(named, "node").select("id", "n_shingles", "component").union(
-        sets.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
+    out = resolved(docs.select(_id().alias("id"), "text"), size, percent, sketch, block)
     no = F.lit(LOWEST)
     return out.select(
         F.nullif("id", no).alias("doc_id"), "n_shingles", F.nullif("component", no).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75, sketch: int = 64, block: int = 512) -> DataFrame:
+    """The same columns, one row per component of :func:`near_duplicates`: its smallest id.
+
+    Of several rows with that id that belong to the component one stays.  Rows without
+    shingles are linked with nothing and all stay.
+    """
+    found = resolved(docs.select(_id().alias("id"), "text"), size, percent, sketch, block)
+    kept = found.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "copy")).alias("k")).select("k.*").distinct()
+    filled = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    rows = docs.where(filled).withColumns({"_id": _id(), "_copy": F.xxhash64("text")})
+    # The join leaves equal rows together: dropping repeated ones moves nothing again.
+    rows = rows.join(kept, [rows["_id"] == kept["id"], rows["_copy"] == kept["copy"]], "left_semi").dropDuplicates(["_id", "_copy"])
+    return rows.select(*docs.columns).union(docs.where(~filled))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallybook.llm import chat, decontam, hmm, language, mixing, neardup, pii, quality, simhash
 from tallybook.llm.common import crc_of
 
@@ -163,3 +164,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_decontaminate")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf, "documents", "doc_id", "text"), _table(spark, sf, "benchmark", "item_id", "text"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
