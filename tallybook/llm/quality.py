@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import map_batches
 
 BINS = 12
+FEATURES = 13
 _CLASSES = np.full(256, 5)
 for _class, _members in enumerate((
     b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"-()?")):
@@ -26,7 +27,7 @@ def features(text: str | None) -> list[float]:
     raw = text.encode() if text else b""
     words = raw.lower().split()
     if not words:
-        return [0.0] * 13
+        return [0.0] * FEATURES
     lower, upper, digits, blanks, points, signs, others = np.bincount(_CLASSES[np.frombuffer(raw, np.uint8)], minlength=7).tolist()
     n, size = len(words), len(raw)
     counts = Counter(words)
@@ -57,7 +58,7 @@ class Evidence:
 def train(rows: np.ndarray, good: np.ndarray, ridge: float = 1.0) -> Evidence:
     """Logistic regression on binned features, by Newton's method on a bounded sample."""
     if len(rows) == 0:
-        rows, good = np.zeros((2, len(features(None)))), np.array([0.0, 1.0])
+        rows, good = np.zeros((2, FEATURES)), np.array([0.0, 1.0])
     borders = np.quantile(rows, np.arange(1, BINS) / BINS, axis=0).T
     places = np.stack([np.searchsorted(b, rows[:, i], side="right") for i, b in enumerate(borders)], 1)
     x = np.zeros((len(rows), len(borders) * BINS + 1))
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Evidence:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("good")], names=["features", "good"])
 
     got = map_batches(rows.select("text", (F.col("quality") > 0).cast("double").alias("good")), work, "features array<double>, good double").toArrow()
-    table = np.array(got.column("features").to_pylist()).reshape(got.num_rows, -1)
+    table = np.array(got.column("features").to_pylist()).reshape(-1, FEATURES)
     good = got.column("good").to_numpy()
     order = np.lexsort((good, *table.T)) if len(table) else []
     return train(table[order], good[order])
@@ -102,7 +103,7 @@ def with_evidence(docs: DataFrame, evidence: Evidence) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = shared.value
         for batch in batches:
-            rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1)
+            rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             scores = evidence.log_ratio(rows) if len(rows) else np.zeros(0)
             yield batch.append_column(pa.field("log_ratio", pa.float64()), pa.array(scores, pa.float64()))
 
