@@ -8,7 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallybook.llm import chat, decontam, hmm, language, mixing, neardup, pii, quality, simhash
+from tallybook.llm import (
+    chat,
+    decontam,
+    hmm,
+    language,
+    mixing,
+    neardup,
+    pii,
+    quality,
+    simhash,
+    substrings,
+)
 from tallybook.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +180,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+@query("op10_remove_repeats")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    # Digests are taken before the join, so no text moves for it.
+    found = substrings.repeats_by_text(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return docs.select("doc_id", substrings.text_key(F.col("text")).alias("key")).join(found, "key").drop("key")
