@@ -62,8 +62,18 @@ def sketches(docs: DataFrame, size: int, sketch: int) -> DataFrame:
     return materialize(map_batches(rows, work, "id bigint, copy bigint, n_shingles bigint, node binary, values array<bigint>"))
 
 
-def inverted_lists(sets: DataFrame, sketch: int, percent: int) -> DataFrame:
-    """(value, node, weight): the values by which a set can meet a similar one.
+def set_classes(sets: DataFrame) -> DataFrame:
+    """One row per different set: ``num`` (a short number), ``node, name`` (smallest id), ``n_shingles, values``.
+
+    The table is written, so the numbers stay; copies meet after partial aggregation.
+    """
+    names = sets.groupBy("node").agg(F.min("id").alias("name"))
+    first = sets.join(names, "node").where("id = name").dropDuplicates(["node"])
+    return materialize(first.select(F.monotonically_increasing_id().alias("num"), "node", "name", "n_shingles", "values"))
+
+
+def inverted_lists(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
+    """(value, num, weight): the values by which a set can meet a similar one.
 
     The retained values of a set are put in order from the rarest to the most frequent.
     Sets that share at least ``least_shared`` of them share one that is not among the last
@@ -71,40 +81,40 @@ def inverted_lists(sets: DataFrame, sketch: int, percent: int) -> DataFrame:
     have) are left out without losing a pair; values of one set alone meet nothing.
     ``weight`` is larger for sets whose values are more frequent.
     """
-    rows = sets.select("node", F.explode("values").alias("value"))
+    rows = classes.select("num", F.explode("values").alias("value"))
     often = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = rows.join(often, "value").groupBy("node").agg(
+    kept = rows.join(often, "value").groupBy("num").agg(
         F.array_sort(F.collect_list(F.struct("n", "value"))).alias("shared"),
         F.sum(F.floor(16 * F.log2("n"))).alias("weight"))
     need = F.when(F.col("n_shingles") * 100 <= percent * sketch, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(percent * sketch // 200)
     held = F.least(F.col("n_shingles"), F.lit(sketch))
     # Values of one set alone come first in its order; they use up the places.
     places = held - need + 1 - (held - F.size("shared"))
-    kept = kept.join(sets.select("node", "n_shingles"), "node").withColumn("places", places.cast("int")).where("places > 0")
-    return kept.select("node", "weight", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s")).select(
-        F.col("s.value").alias("value"), "node", "weight")
+    kept = kept.join(classes.select("num", "n_shingles"), "num").withColumn("places", places.cast("int")).where("places > 0")
+    return kept.select("num", "weight", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s")).select(
+        F.col("s.value").alias("value"), "num", "weight")
 
 
 def comparison_units(lists: DataFrame, block: int) -> DataFrame:
-    """(unit, side, node): which sets are compared with which.
+    """(unit, side, num): which sets are compared with which.
 
     Each list is led by its set of the largest weight; all lists of a leader make one
     group, so sets that share many values meet once.  A group of more than about ``block``
     sets is cut into blocks, and each pair of blocks is a unit: no task holds a whole
     group, and no pair is a row.
     """
-    leaders = lists.groupBy("value").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = lists.select("value", "node").join(leaders.select("value", "leader"), "value").select("leader", "node").distinct()
+    leaders = lists.groupBy("value").agg(F.max(F.struct("weight", "num"))["num"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = lists.select("value", "num").join(leaders.select("value", "leader"), "value").select("leader", "num").distinct()
     sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "leader").withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    members = members.join(sizes, "leader").withColumn("mine", F.expr("cast(pmod(xxhash64(num), blocks) as int)"))
     other = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     return other.select(
-        F.concat_ws("-", F.hex("leader"), low, high).alias("unit"),
-        F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2).alias("side"), "node")
+        F.concat_ws("-", "leader", low, high).alias("unit"),
+        F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2).alias("side"), "num")
 
 
-def _links_of_unit(nodes: list[bytes], sides: list[int], sets: list[np.ndarray], sketch: int, percent: int) -> list[tuple[bytes, bytes]]:
+def _links_of_unit(nodes: list[int], sides: list[int], sets: list[np.ndarray], sketch: int, percent: int) -> list[tuple[int, int]]:
     """Links that join what is similar in a unit, a spanning forest of them."""
     n = len(nodes)
     if n < 2:
@@ -146,12 +156,14 @@ def _links_of_unit(nodes: list[bytes], sides: list[int], sets: list[np.ndarray],
     return links
 
 
-def verified_links(units: DataFrame, docs: DataFrame, ids: DataFrame, size: int, sketch: int, percent: int) -> DataFrame:
+def verified_links(units: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int) -> DataFrame:
     """(a, b): links of the units, confirmed on the full sets.
 
-    ``ids`` has (node, id) of one document per set; only these texts are read again.
+    Only the texts of sets that are compared are read again.  They are found by a merge
+    join at any size, so that plan and cost are alike for small and large inputs.
     """
-    wanted = units.select("node").distinct().join(ids, "node").select("id").distinct()
+    asked = units.select("num").distinct().join(classes.select("num", "node", "name"), "num")
+    wanted = asked.select(F.col("name").alias("id")).distinct().hint("merge")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -161,50 +173,51 @@ def verified_links(units: DataFrame, docs: DataFrame, ids: DataFrame, size: int,
                 [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "full"])
 
     sets = map_batches(docs.join(wanted, "id", "left_semi").select("text"), full, "node binary, full binary")
-    rows = units.join(sets, "node").repartition("unit").sortWithinPartitions("unit", "node")
+    sets = sets.join(asked.select("num", "node"), "node").select("num", "full")
+    rows = units.join(sets, "num").repartition("unit").sortWithinPartitions("unit", "num")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, nodes, sides, found = None, [], [], []
 
-        def done() -> list[tuple[bytes, bytes]]:
+        def done() -> list[tuple[int, int]]:
             return _links_of_unit(nodes, sides, found, sketch, percent)
 
         for batch in batches:
             out = []
-            for name, side, node, values in zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "node", "full")), strict=True):
+            for name, side, num, values in zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "num", "full")), strict=True):
                 if name != unit:
                     out += done()
                     unit, nodes, sides, found = name, [], [], []
-                if not nodes or nodes[-1] != node:  # repeated rows give a set twice
-                    nodes.append(node)
+                if not nodes or nodes[-1] != num:  # repeated rows give a set twice
+                    nodes.append(num)
                     sides.append(side)
                     found.append(np.frombuffer(values, np.uint64))
             yield pairs(out)
         yield pairs(done())
 
-    def pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return materialize(map_batches(rows.select("unit", "side", "node", "full"), work, "a binary, b binary"))
+    return materialize(map_batches(rows.select("unit", "side", "num", "full"), work, "a bigint, b bigint"))
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
-    """(node, label): the smallest (name, node) of all nodes that links reach; linked nodes only.
+    """(num, label): the smallest (name, num) of all nodes that links reach; linked nodes only.
 
     Each round a node takes the smallest label of its neighbours and itself, then the label
     of the node that had given that label (so paths halve); every round is written to the
     shared folder, and the rounds end when no label changes.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().join(names, "node").select("node", F.struct("name", "node").alias("label"))
+    labels = both.select(F.col("a").alias("num")).distinct().join(names, "num").select("num", F.struct("name", "num").alias("label"))
     labels = materialize(labels)
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("new"))
-        ahead = labels.select(F.col("node").alias("via"), F.col("label").alias("ahead"))
-        new = materialize(new.join(ahead, F.col("new.node") == F.col("via")).select("node", (F.least("new", "ahead") != F.col("label")).alias("moved"), F.least("new", "ahead").alias("label")))
+        near = both.join(labels, both.b == labels.num).groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near, labels.num == near.a).select("num", "label", F.least("label", "near").alias("new"))
+        ahead = labels.select(F.col("num").alias("via"), F.col("label").alias("ahead"))
+        new = materialize(new.join(ahead, F.col("new.num") == F.col("via")).select("num", (F.least("new", "ahead") != F.col("label")).alias("moved"), F.least("new", "ahead").alias("label")))
         moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "label")
+        labels = new.select("num", "label")
         if not moved:
             return labels
 
@@ -220,17 +233,16 @@ def resolved(rows: DataFrame, size: int, percent: int, sketch: int, block: int)
     """
     sets = sketches(rows, size, sketch)
     filled = sets.where("n_shingles > 0")
-    names = materialize(filled.groupBy("node").agg(F.min("id").alias("name")))
-    classes = filled.join(names, [filled.node == names.node, filled.id == names.name], "left_semi").dropDuplicates(["node"])
+    classes = set_classes(filled)
     lists = materialize(inverted_lists(classes, sketch, percent))
     units = materialize(comparison_units(lists, block))
-    links = verified_links(units, rows, names.withColumnRenamed("name", "id"), size, sketch, percent)
-    found = components(links, names)
-    own = F.struct("name", "node")
-    named = names.join(found, "node", "left").select("node", F.coalesce("label", own).alias("label"))
+    links = verified_links(units, rows, classes, size, sketch, percent)
+    names = classes.select("num", "node", "name")
+    found = components(links, names.select("num", "name"))
+    named = names.join(found, "num", "left").select("node", F.coalesce("label", F.struct("name", "num")).alias("label"))
     return filled.select("id", "copy", "n_shingles", "node").join(named, "node").select(
-        "id", "copy", "n_shingles", F.col("label.name").alias("component"), F.col("label.node").alias("group")
-    ).union(sets.where("n_shingles = 0").select("id", "copy", "n_shingles", F.col("id").alias("component"), F.lit(None).cast("binary").alias("group")))
+        "id", "copy", "n_shingles", F.col("label.name").alias("component"), F.col("label.num").alias("group")
+    ).union(sets.where("n_shingles = 0").select("id", "copy", "n_shingles", F.col("id").alias("component"), F.lit(None).cast("bigint").alias("group")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, sketch: int = 64, block: int = 512) -> DataFrame:
