@@ -12,13 +12,28 @@ _MONTH_WORD = (
     r"sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![a-z]))([a-z]{3})[a-z]*\.?"
 )
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_TIME = r"[ t]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]m)?$"
+_TIME = r"[ t]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?[ap]m)?(?: ?(?:z|utc|gmt|[-+]\d{2}(?::?\d{2})?))?$"
+_WEEKDAY = r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +(?=\S)"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 _YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
 _NUMERIC = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
 _DAY_MONTH = r"^(\d{1,2})(?:st|nd|rd|th)?[-/. ]*" + _MONTH_WORD + r"[-/., ]*(\d{4}|\d{2})$"
+_YEAR_MONTH = r"^(\d{4})[-/., ]+" + _MONTH_WORD + r"[-/., ]*(\d{1,2})(?:st|nd|rd|th)?$"
 _MONTH_DAY = r"^" + _MONTH_WORD + r"[-/. ]*(\d{1,2})(?:st|nd|rd|th)?[-/., ]+(\d{4}|\d{2})$"
 
 
+# All characters that count as white space at the ends of a text.
+_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+# Amounts from here on are no money; they could not be added up exactly.
+LARGEST = 1e24
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(_SPACE))
+
+
 def _as_day(ymd: Column) -> Column:
     """``y-m-d`` text with a year of two or four digits to a date, all else to null."""
     full = F.regexp_replace(ymd, r"^(7[6-9]|[89]\d)-", "19$1-")
@@ -31,14 +46,17 @@ def parse_date(value: Column) -> Column:
 
     Understood, each with an optional time of day: ``2026-01-31`` (also ``/``, ``.``),
     ``01/31/2026`` with month first and day first as fallback, ``31 Jan 2026``,
-    ``31-Jan-26``, ``Jan 31, 2026`` and the full month names.
+    ``31-Jan-26``, ``Jan 31, 2026``, ``2026 Jan 31``, ``20260131`` and the full month
+    names, after a weekday and before a time with or without a zone.
 
     Each form is rewritten to ISO by one pattern, which leaves other forms alone; that
     needs no formatter and throws nothing on bad rows.  ISO text takes a short path.
     """
     raw = value.cast("string")
-    text = F.regexp_replace(F.lower(F.trim(raw)), _TIME, "")
+    text = F.regexp_replace(F.regexp_replace(F.lower(stripped(raw)), _TIME, ""), _WEEKDAY, "")
     ymd = F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3")
+    ymd = F.regexp_replace(ymd, _COMPACT, "$1-$2-$3")
+    ymd = F.regexp_replace(ymd, _YEAR_MONTH, "$1-$2-$3")
     ymd = F.regexp_replace(ymd, _NUMERIC, "$3-$1-$2")
     ymd = F.regexp_replace(ymd, _DAY_MONTH, "$3-$2-$1")
     ymd = F.regexp_replace(ymd, _MONTH_DAY, "$3-$1-$2")
@@ -50,34 +68,49 @@ def parse_date(value: Column) -> Column:
     )
 
 
+def _number(text: Column) -> Column:
+    value = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    return F.when(F.abs(value) < LARGEST, value)
+
+
 def parse_amount(value: Column) -> Column:
-    """Amount text to ``double``: symbols and commas go, ``(50.00)`` is negative."""
-    signed = F.replace(F.replace(F.trim(value), F.lit("("), F.lit("-")), F.lit(")"), F.lit(""))
-    return F.regexp_replace(signed, r"[^0-9.\-]", "").try_cast("double")
+    """Amount text to ``double``: symbols and commas go, ``(50.00)`` is negative.
+
+    Numbers too large for money are null like other unreadable text.
+    """
+    signed = F.replace(F.replace(stripped(value), F.lit("("), F.lit("-")), F.lit(")"), F.lit(""))
+    return _number(signed)
 
 
 def parse_side(value: Column) -> Column:
     """One side of a split debit/credit pair; anything unreadable counts as 0."""
-    return F.coalesce(F.regexp_replace(value, r"[^0-9.\-]", "").try_cast("double"), F.lit(0.0))
+    return F.coalesce(_number(value), F.lit(0.0))
 
 
-def micros(amount: Column) -> Column:
-    """The amount in millionths as ``bigint``."""
-    return F.rint(amount * 1_000_000).cast("bigint")
+def micros_text(amount: Column) -> Column:
+    """The amount in millionths as text; amounts beyond a ``bigint`` of them as they are."""
+    small = F.abs(amount) < 9e12
+    return F.when(small, F.rint(F.when(small, amount) * 1_000_000).cast("bigint").cast("string")).otherwise(amount.cast("string"))
 
 
 def exact_total(amount: Column) -> Column:
     """Sum as ``decimal(38,6)`` that does not depend on the order of the rows.
 
-    The millionths are split at 2**20 and added as two ``bigint`` sums, so that the
-    partial aggregation stays in generated code with fixed-width buffers (a decimal
-    sum of this width does not) and cannot overflow below 10**12 rows.
+    The millionths are split into limbs of 20 bits, each step exact in floating point, and
+    added as three ``bigint`` sums, so that the partial aggregation stays in generated code
+    with fixed-width buffers (a decimal sum of this width does not).  Amounts up to
+    ``LARGEST`` fit; non-finite ones count as null.
     """
-    value = micros(amount)
-    high = F.sum(F.shiftright(value, 20)).cast("decimal(20,0)")
-    low = F.sum(value.bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))).cast("decimal(20,0)")
-    total = (high * F.lit(1 << 20) + low) * F.lit("0.000001").cast("decimal(6,6)")
-    return total.cast("decimal(38,6)")
+    limb = float(1 << 20)
+    value = F.rint(F.when(F.abs(amount) < LARGEST, amount) * 1_000_000)
+    top = F.floor(value / (limb * limb)).cast("double")
+    rest = value - top * (limb * limb)
+    middle = F.floor(rest / limb).cast("double")
+    sums = [F.sum(x.cast("bigint")).cast("decimal(19,0)") for x in (top, middle, rest - middle * limb)]
+    scale = F.lit(1 << 20).cast("decimal(7,0)")
+    high = (sums[0] * scale).cast("decimal(27,0)") + sums[1]
+    total = (high.cast("decimal(30,0)") * scale).cast("decimal(38,0)") + sums[2]
+    return (total.cast("decimal(32,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(38,6)")
 
 
 def cents(total: Column) -> Column:

@@ -90,44 +90,52 @@ def candidate_scan(
     schema: pa.Schema,
     factory: EmbedderFactory | None = None,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A partition scan that passes on the rows that can be among a query's k nearest.
+    """A partition scan that passes on the rows that are among a query's k nearest in it.
 
     ``vector_column`` holds vectors, or texts when there is a ``factory``; texts are
-    embedded on the spot, so their vectors never leave the worker.  Per query the scan
-    only remembers the k smallest distances so far, so a partition of any size needs
-    one Arrow batch of memory.  Of many rows at one distance in a batch the k with the
-    lowest ids go on, as the final ranking orders ties by id.
+    embedded on the spot, so their vectors never leave the worker.  Each slice of rows is
+    one matrix of distances whose k smallest per query are merged with those so far (ties
+    by id, as in the final ranking); a partition gives at most k rows a query, once, at
+    its end.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(queries), k), np.inf)
         model = factory() if factory else None
+        kept, names = None, None
+        owners, distances = np.zeros((0, 2), np.int64), np.zeros(0)  # query and row of ``kept``
+        limit = np.full(len(queries), np.inf)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_column)).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
             source = batch.column(batch.schema.get_field_index(vector_column))
             matrix = model(source.to_pylist()).astype(np.float64) if model else to_matrix(source)
+            rest = batch.drop_columns([vector_column])
             step = max(1, _CELLS_AT_ONCE // max(1, len(queries)))
             for start in range(0, len(matrix), step):
-                distances = cosine_distances(matrix[start:start + step], queries)
-                rows, owners = [], []
-                for q in range(len(queries)):
-                    column = distances[:, q]
-                    merged = np.concatenate([best[q], column])
-                    best[q] = np.partition(merged, k - 1)[:k]
-                    near = np.flatnonzero(column <= best[q].max())
-                    if len(near) > k:
-                        near = near[np.lexsort((ids[start:][near], column[near]))[:k]]
-                    rows.append(near)
-                    owners.append(np.full(len(near), q))
-                row, owner = np.concatenate(rows), np.concatenate(owners)
-                if not len(row):
-                    continue
-                kept = batch.take(pa.array(row + start))
-                arrays = [query_ids.take(pa.array(owner)), pa.array(distances[row, owner])]
-                arrays += [kept.column(i) for i, name in enumerate(batch.schema.names) if name != vector_column]
-                yield pa.RecordBatch.from_arrays(
-                    [a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema
-                )
+                found = cosine_distances(queries, matrix[start:start + step])
+                if found.shape[1] > k:
+                    limit = np.minimum(limit, np.partition(found, k - 1, axis=1)[:, k - 1])
+                owner, row = np.nonzero(found <= limit[:, None])
+                used, place = np.unique(row, return_inverse=True)
+                new = rest.take(pa.array(used + start))
+                offset = 0 if kept is None else kept.num_rows
+                kept = new if kept is None else pa.concat_batches([kept, new])
+                names = ids[used + start] if names is None else np.concatenate([names, ids[used + start]])
+                all_owners = np.concatenate([owners[:, 0], owner])
+                all_rows = np.concatenate([owners[:, 1], place + offset])
+                all_distances = np.concatenate([distances, found[owner, row]])
+                order = np.lexsort((names[all_rows], all_distances, all_owners))
+                sorted_owners = all_owners[order]
+                rank = np.arange(len(order)) - np.searchsorted(sorted_owners, sorted_owners)
+                order = order[rank < k]
+                last = rank[rank < k] == k - 1
+                limit[all_owners[order][last]] = all_distances[order][last]
+                rows_used, place = np.unique(all_rows[order], return_inverse=True)
+                kept, names = kept.take(pa.array(rows_used)), names[rows_used]
+                owners, distances = np.stack([all_owners[order], place], 1), all_distances[order]
+        if kept is not None and len(owners):
+            out = kept.take(pa.array(owners[:, 1]))
+            arrays = [query_ids.take(pa.array(owners[:, 0])), pa.array(distances), *out.columns]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
 
     return scan

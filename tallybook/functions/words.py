@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 def _finder(words: Sequence[str]) -> Callable[[str], list[int]]:
     """A function from a text to the sorted places of the words it contains."""
     lowered = [w.lower() for w in words]
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [i for i, w in enumerate(lowered) if w in text]
+    import ahocorasick  # in the worker, which needs the package
+
     places: dict[str, list[int]] = {}
     for place, word in enumerate(lowered):
         places.setdefault(word, []).append(place)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallybook import vocab
 from tallybook.functions.text import clean_description
-from tallybook.functions.values import parse_amount, parse_date, parse_side
+from tallybook.functions.values import parse_amount, parse_date, parse_side, stripped
 
 LEDGER_COLUMNS = ["date", "description", "amount", "transaction_type"]
 
@@ -142,7 +142,7 @@ def with_transaction_type(df: DataFrame) -> DataFrame:
 
 def drop_non_transactions(df: DataFrame) -> DataFrame:
     """Without zero amounts and blank descriptions."""
-    return df.where((F.col("amount") != 0) & (F.trim("description") != ""))
+    return df.where((F.col("amount") != 0) & (stripped(F.col("description")) != ""))
 
 
 def clean_ledger(

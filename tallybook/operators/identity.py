@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.values import micros
+from tallybook.functions.values import micros_text
 
 _COPIES_PER_TASK = 100_000
 
@@ -34,7 +34,7 @@ def with_txn_id(ledger: DataFrame) -> DataFrame:
         .repartition(*columns, "_first")
     )
     content = F.concat_ws(
-        "|", F.col("date").cast("string"), F.col("description"), micros(F.col("amount")).cast("string")
+        "|", F.col("date").cast("string"), F.col("description"), micros_text(F.col("amount"))
     )
     return (
         few.unionByName(many)

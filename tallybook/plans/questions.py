@@ -114,8 +114,9 @@ def plan_questions(
         ).otherwise(no_names),
         "month_nums": F.when(F.col("_year") != "", no_numbers).otherwise(F.col("_numbers")),
     })
-    has_filter = (
-        F.col("merchant").isNotNull() | (F.size("categories") > 0) | (F.size("_numbers") > 0)
+    # A null question has no filter and asks for no total.
+    has_filter = F.coalesce(
+        F.col("merchant").isNotNull() | (F.size("categories") > 0) | (F.size("_numbers") > 0), F.lit(False)
     )
     return dated.withColumn("has_filter", has_filter).select(
         *questions.columns, "intent", "merchant", "categories", "months", "month_nums", "has_filter",

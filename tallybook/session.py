@@ -28,11 +28,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (local tests) gets a folder of its own.
+    Only a local session without that setting gets a folder of its own; on a cluster
+    executors would not see it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallybook-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

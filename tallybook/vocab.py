@@ -25,69 +25,71 @@ COLUMN_ALIASES = {
     "amount": ["amount", "debit", "credit", "transaction amount", "value"],
 }
 
-# Category keywords, checked from top to bottom; the first category with a keyword
-# inside the lower-cased description wins.  A keyword that contains another keyword
-# of its own category can never change a result and is left out.  The last keyword
-# kept in Transport ("bluesmart"), Entertainment ("district by zomato") and Other
-# ("cheque bounce") is owned by an earlier category; the rule audit reports them.
+# FIXED VALUES: category keywords, whole and in their order, checked from top to bottom;
+# the first category with a keyword inside the lower-cased description wins.
 RULES = {
     "Income": [
-        "salary", "payroll", "freelance payment", "client payment", "neft credit",
-        "imps credit", "upi credit", "interest earned", "dividend", "refund", "cashback",
+        "salary credit", "salary", "payroll", "freelance payment", "client payment",
+        "neft credit", "imps credit", "upi credit", "interest earned", "dividend",
+        "refund", "cashback",
     ],
     "Savings/Transfer": [
-        "mutual fund sip", "sip transfer", "savings transfer", "transfer to",
-        "account transfer", "internal transfer", "wire transfer",
+        "mutual fund sip", "sip transfer", "transfer to savings", "savings transfer",
+        "transfer to", "account transfer", "internal transfer", "wire transfer",
     ],
     "Rent/Housing": [
-        "rent", "apartment", "lease payment", "home loan emi", "housing society",
-        "maintenance charges", "society maintenance",
+        "rent payment", "rent", "apartment", "lease payment", "home loan emi",
+        "housing society", "maintenance charges", "society maintenance",
     ],
     "Groceries": [
-        "bigbasket", "grofers", "blinkit", "zepto", "more megastore", "reliance fresh",
-        "spencer", "nature's basket", "lulu hypermarket", "hypercity", "grocery",
-        "groceries", "supermarket", "kirana", "vegetables", "mart", "provision shop",
-        "veggie shop", "vegetable shop", "provisions", "bazaar",
+        "bigbasket", "dmart", "d-mart", "grofers", "blinkit", "zepto", "jiomart",
+        "more megastore", "reliance fresh", "reliance smart", "spencer",
+        "nature's basket", "lulu hypermarket", "star bazaar", "hypercity", "grocery",
+        "groceries", "supermarket", "kirana", "vegetables", "fruits and vegetables",
+        "mart", "provision shop", "veggie shop", "vegetable shop", "grocery shop",
+        "provisions", "bazaar",
     ],
     "Food & Dining": [
         "zomato", "swiggy", "box8", "faasos", "freshmenu", "rebel foods", "eatfit",
         "mcdonald", "kfc india", "burger king india", "domino", "pizza hut india",
-        "subway india", "mainland china", "paradise biryani", "barbeque", "starbucks",
-        "chai point", "cafe coffee day", "ccd", "third wave coffee", "blue tokai",
-        "restaurant", "dining", "bistro", "dhaba", "hotel", "tiffin", "mess",
-        "food delivery", "meal delivery", "valentine",
+        "subway india", "barbeque nation", "mainland china", "paradise biryani",
+        "barbeque", "starbucks", "chai point", "cafe coffee day", "ccd",
+        "third wave coffee", "blue tokai", "restaurant", "dining", "bistro", "dhaba",
+        "hotel", "tiffin", "mess", "food delivery", "meal delivery", "valentine",
     ],
     "Transport": [
-        "ola ", "uber ", "rapido", "namma yatri", "yulu", "bounce", "metro rail", "bmtc",
-        "best bus", "dtc bus", "ksrtc", "bus pass", "fastag", "toll plaza", "parking",
-        "indian oil", "iocl", "hp petrol", "bharat petroleum", "bpcl", "shell india",
-        "petrol pump", "fuel station", "irctc", "redbus", "abhibus", "makemytrip flight",
-        "indigo airlines", "air india", "spicejet", "bluesmart",
+        "ola cabs", "ola ", "uber india", "uber ", "rapido", "namma yatri", "yulu",
+        "bounce", "bluesmart", "metro rail", "bmtc", "best bus", "dtc bus", "ksrtc",
+        "bus pass", "fastag", "toll plaza", "parking", "indian oil", "iocl",
+        "hp petrol", "bharat petroleum", "bpcl", "shell india", "petrol pump",
+        "fuel station", "irctc", "redbus", "abhibus", "makemytrip flight",
+        "indigo airlines", "air india", "spicejet",
     ],
     "Utilities": [
         "bescom", "msedcl", "tata power", "adani electricity", "electricity bill",
         "electric bill", "water bill", "gas bill", "piped gas", "mgl", "igl",
-        "airtel fiber", "jio fiber", "act fibernet", "hathway", "broadband",
-        "internet bill", "postpaid bill",
+        "airtel broadband", "airtel fiber", "jio fiber", "act fibernet", "hathway",
+        "bsnl broadband", "broadband", "internet bill", "postpaid bill",
     ],
     "Subscriptions": [
-        "netflix", "spotify", "hotstar", "amazon prime", "zee5", "sony liv", "sonyliv",
-        "voot", "mxplayer", "youtube premium", "google one", "google play",
-        "microsoft 365", "adobe", "dropbox", "membership", "subscription", "cult.fit",
-        "curefit",
+        "netflix", "spotify", "hotstar", "disney+ hotstar", "amazon prime", "zee5",
+        "sony liv", "sonyliv", "voot", "mxplayer", "youtube premium", "google one",
+        "google play", "microsoft 365", "adobe", "dropbox", "membership",
+        "subscription", "cult.fit", "curefit",
     ],
     "Healthcare": [
-        "medplus", "netmeds", "1mg", "pharmeasy", "pharmacy", "hospital", "fortis",
-        "manipal", "narayana health", "columbia asia", "max healthcare", "consultation",
-        "clinic", "dr. ", "sharma", "diagnostic", "thyrocare", "lal pathlabs", "dental",
+        "apollo pharmacy", "medplus", "netmeds", "1mg", "pharmeasy", "tata 1mg",
+        "pharmacy", "hospital", "fortis", "manipal", "narayana health",
+        "columbia asia", "max healthcare", "consultation", "clinic", "dr. ",
+        "family clinic", "sharma", "diagnostic", "thyrocare", "lal pathlabs", "dental",
         "dentist", "medical", "health insurance", "star health", "niva bupa",
         "hdfc ergo health",
     ],
     "Entertainment": [
-        "pvr", "inox", "cinepolis", "bookmyshow", "paytm insider", "lbb", "concert",
-        "bowling", "escape room", "steam ", "playstation", "xbox", "nintendo", "games",
-        "kindle", "audible", "museum", "zoo", "aquarium", "spa", "salon",
-        "district by zomato",
+        "pvr", "inox", "cinepolis", "bookmyshow", "district by zomato",
+        "paytm insider", "lbb", "concert", "bowling", "escape room", "steam ",
+        "playstation", "xbox", "nintendo", "games", "kindle", "audible", "museum",
+        "zoo", "aquarium", "spa", "salon", "nykaa salon",
     ],
     "Shopping": [
         "amazon.in", "flipkart", "myntra", "ajio", "meesho", "snapdeal", "nykaa",
@@ -97,9 +99,9 @@ RULES = {
         "online shopping", "fashion shopping",
     ],
     "Other": [
-        "atm withdrawal", "cash withdrawal", "donation", "charity", "ngo", "bank charge",
-        "bank fee", "overdraft", "late payment fee", "interest charge", "neft charges",
-        "cheque bounce",
+        "atm withdrawal", "cash withdrawal", "donation", "charity", "ngo",
+        "temple donation", "bank charge", "bank fee", "overdraft", "late payment fee",
+        "interest charge", "cheque bounce", "neft charges",
     ],
 }
 
@@ -152,7 +154,7 @@ MONTH_NAMES = [
 # Month words of a question: full names and these short forms.
 MONTH_TOKENS = [
     "january", "jan", "february", "feb", "march", "mar", "april", "apr", "may", "june",
-    "jun", "july", "jul", "august", "aug", "september", "sept", "sep", "october", "oct",
+    "jun", "july", "jul", "august", "aug", "september", "sep", "sept", "october", "oct",
     "november", "nov", "december", "dec",
 ]
 

@@ -15,13 +15,13 @@ def frame(spark, columns, *rows):
 
 def test_schema_signs_and_types(spark):
     raw = frame(spark, ["date", "description", "amount"],
-                ("2026-01-05", "BIGBASKET GROCERY", "-1840.00"), ("2026-01-03", "SALARY CREDIT", "62000.00"))
+                ("2031-11-05", "LAMP  SHOP", "-41.20"), ("2031-11-03", "PRIZE MONEY", "410.00"))
     ledger = clean.clean_ledger(raw)
     assert ledger.columns == ["date", "description", "amount", "transaction_type"]
     rows = {r["description"]: r for r in ledger.collect()}
-    assert rows["Salary Credit"]["amount"] == 62000.0
-    assert rows["Salary Credit"]["transaction_type"] == "credit"
-    assert rows["Bigbasket Grocery"]["transaction_type"] == "debit"
+    assert rows["Prize Money"]["amount"] == 410.0
+    assert rows["Prize Money"]["transaction_type"] == "credit"
+    assert rows["Lamp Shop"]["transaction_type"] == "debit"
 
 
 @pytest.mark.parametrize("text,value", [
@@ -36,7 +36,8 @@ def test_amounts(spark, text, value):
 def test_dates_of_every_form(spark):
     rng = random.Random(5)
     forms = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%m-%d-%y", "%d %b %Y", "%d-%b-%y", "%B %d, %Y",
-             "%b %d %Y", "%d %B %Y", "%Y-%m-%d 13:45:00", "%m/%d/%Y 1:05 PM"]
+             "%b %d %Y", "%d %B %Y", "%Y-%m-%d 13:45:00", "%m/%d/%Y 1:05 PM", "%Y-%m-%dT13:45:00Z",
+             "%Y-%m-%dT13:45:00.120+05:30", "%Y%m%d", "%a, %d %b %Y", "%A %B %d, %Y", "%Y %b %d", "\t%Y-%m-%d\n"]
     rows = []
     for _ in range(400):
         day = datetime.date(1990, 1, 1) + datetime.timedelta(rng.randrange(25_000))
@@ -117,3 +118,17 @@ def test_parsing_runs_once_per_row(spark):
     plan = clean.clean_ledger(raw)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("not a date") == 0 and plan.count("Generate inline") == 1
     assert "Exchange" not in plan
+
+
+def test_large_amounts_are_added_exactly(spark):
+    raw = frame(spark, ["date", "description", "amount"],
+                ("2031-11-05", "A", "UPI 123456789012345"), ("2031-11-05", "B", "0.10"), ("2031-11-05", "C", "-7e"),
+                ("2031-11-05", "D", "9" * 30), ("2031-11-05", "E", "(20000000000000.25)"), ("2031-11-05", "\t", "1"))
+    ledger = clean.clean_ledger(raw)
+    assert ledger.count() == 4
+    assert ledger.agg(exact_sum(F.col("amount")).alias("s")).first()["s"] == 103456789012337.85
+    from tallybook.operators.identity import with_txn_id
+
+    assert with_txn_id(ledger).select("txn_id").distinct().count() == 4
+    rejects = {r["reason"]: r["n_rows"] for r in clean.clean_rejects(raw).collect()}
+    assert rejects == {"unreadable amount": 1, "blank description": 1}

@@ -59,4 +59,4 @@ def test_query_matches_sql(spark, sql, name):
 
 def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).count() == 8
+    assert entry.entry(spark).count() == 9

@@ -104,6 +104,24 @@ def _buckets(source: str, key: str, text: str) -> str:
     GROUP BY k, b"""
 
 
+_GRID = "CROSS JOIN range(0, {0}) AS r(i)".format(vocab.EMBEDDING_DIM)
+VECTORS = f"""SELECT c.txn_id, string_agg(cast(coalesce(cast(cb.n AS int), 0) AS varchar), ',' ORDER BY i) AS embedding
+    FROM chunks c {_GRID} LEFT JOIN ({_buckets('chunks', 'txn_id', 'chunk')}) cb ON cb.k = c.txn_id AND cb.b = i GROUP BY c.txn_id"""
+# Nearest rows of all lookups, each different question once, with dense vectors.
+LOOKUPS = f"""
+chunks AS (SELECT txn_id, {CHUNK} AS chunk FROM idx),
+asked AS (SELECT DISTINCT question FROM plans WHERE NOT wants_all),
+cv AS (SELECT c.txn_id, list(coalesce(cb.n, 0) ORDER BY i) AS v FROM chunks c {_GRID}
+       LEFT JOIN ({_buckets('chunks', 'txn_id', 'chunk')}) cb ON cb.k = c.txn_id AND cb.b = i GROUP BY c.txn_id),
+qv AS (SELECT a.question, list(coalesce(qb.n, 0) ORDER BY i) AS v FROM asked a {_GRID}
+       LEFT JOIN ({_buckets('asked', 'question', 'question')}) qb ON qb.k = a.question AND qb.b = i GROUP BY a.question),
+cs AS (SELECT *, list_dot_product(v, v) AS s FROM cv),
+qs AS (SELECT *, list_dot_product(v, v) AS s FROM qv),
+lookup_dist AS (SELECT question, txn_id, CASE WHEN cs.s * qs.s > 0 THEN round(1 - list_dot_product(cs.v, qs.v) / sqrt(cs.s * qs.s), 9) ELSE 1 END AS distance
+                FROM cs CROSS JOIN qs),
+lookup_rank AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY distance, txn_id) AS rn FROM lookup_dist),
+lookup_sums AS (SELECT question, count(*) AS n, {_sum('CASE WHEN amount < 0 THEN -amount END')} AS spend, {_sum('CASE WHEN amount >= 0 THEN amount END')} AS income
+                FROM lookup_rank r JOIN idx l ON l.txn_id = r.txn_id WHERE rn <= {vocab.TOP_K} GROUP BY question)"""
 HITS = f"""
 complete_hits AS (SELECT p.question_id, l.*, cast(NULL AS double) AS distance, true AS complete
                   FROM idx l JOIN plans p ON {MATCH}),
@@ -259,9 +277,10 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT cast(date AS date), {SHOWN}, amount, CASE WHEN amount > 0 THEN 'credit' ELSE 'debit' END, image_id, utr
             FROM n WHERE a = 1 OR utr = ''""",
         "sink_roundtrip": f"WITH {LEDGER} SELECT *, 'csv' AS sink FROM ledger UNION ALL SELECT *, 'parquet' FROM ledger",
-        "index_write_read": f"""WITH {INDEX} SELECT txn_id, date, description, amount, transaction_type, category,
+        "index_write_read": f"""WITH {INDEX}, chunks AS (SELECT txn_id, {CHUNK} AS chunk FROM idx) SELECT txn_id, date, description, amount, transaction_type, category,
             strftime(date, '%Y-%m') AS month, strftime(date, '%B %Y') AS month_name, cast(month(date) AS int) AS month_num,
-            cast(year(date) AS int) AS year, abs(amount) AS abs_amount, {CHUNK} AS chunk, lower(description) AS description_lc FROM idx""",
+            cast(year(date) AS int) AS year, abs(amount) AS abs_amount, chunk, lower(description) AS description_lc, embedding
+            FROM (SELECT *, {CHUNK} AS chunk FROM idx) JOIN ({VECTORS}) USING (txn_id)""",
         "ledger_fingerprint": f"""WITH {LEDGER} SELECT count(*) AS n_rows, {_d(_sum('amount'))} AS amount_sum,
             min(date) AS first_date, max(date) AS last_date FROM ledger""",
         "norm_aliases": f"""WITH {TYPED}, t AS (SELECT trim(CASE WHEN damage = 'blank' THEN ' ' WHEN l_suppkey % 3 = 0 THEN upper(description)
@@ -328,7 +347,7 @@ def all_sql() -> dict[str, str]:
         "eval_key_join": f"WITH {EVAL} SELECT * FROM overlap",
         "answer_confidence": f"WITH {GOLDEN_HITS}, {ANSWERS} SELECT * FROM answers",
         "answer_evidence": f"WITH {GOLDEN_HITS}, {ANSWERS} SELECT question_id, rank, txn_id, date, description, amount FROM evidence",
-        "answer_totals": f"""WITH {LEDGER}, {QUESTIONS}, {PLANS},
+        "answer_totals": f"""WITH {INDEX}, {QUESTIONS}, {PLANS}, {LOOKUPS},
             cube AS (SELECT description, category, date_trunc('month', date) AS date, count(*) AS n, {_sum('CASE WHEN amount < 0 THEN -amount END')} AS spend,
                      {_sum('CASE WHEN amount >= 0 THEN amount END')} AS income FROM ledger GROUP BY 1, 2, 3),
             kinds AS (SELECT DISTINCT merchant, cats, ms, mn, wants_all FROM plans WHERE wants_all),
@@ -339,7 +358,10 @@ def all_sql() -> dict[str, str]:
               {_d('coalesce(income, 0) - coalesce(spend, 0)')} AS net, cast(coalesce(n, 0) AS bigint) AS count,
               true AS complete, 'High' AS confidence
             FROM plans p LEFT JOIN sums s ON p.merchant IS NOT DISTINCT FROM s.merchant AND p.cats = s.cats AND p.ms = s.ms AND p.mn = s.mn
-            WHERE p.wants_all""",
+            WHERE p.wants_all
+            UNION ALL SELECT p.question_id, {_d('coalesce(CASE WHEN spend > 0 THEN spend ELSE income END, 0)')}, {_d('coalesce(spend, 0)')},
+              {_d('coalesce(income, 0)')}, {_d('coalesce(income, 0) - coalesce(spend, 0)')}, cast(coalesce(n, 0) AS bigint), false, 'Medium'
+            FROM plans p LEFT JOIN lookup_sums s ON s.question = p.question WHERE NOT p.wants_all""",
         "answer_markdown": f"""WITH {GOLDEN_HITS}, {ANSWERS},
             opening AS (SELECT question_id, list_filter(['**Answer:** ₹' || format('{{:,.2f}}', headline_total) || ' across ' || count ||
                 CASE WHEN count = 1 THEN ' transaction.' ELSE ' transactions.' END,
@@ -353,6 +375,7 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT question_id, 2, rank - 1, '- `' || cast(date AS varchar) || '` · ' || description || ' · ' ||
               CASE WHEN transaction_type = 'credit' THEN '+' ELSE '−' END || '₹' || format('{{:,.2f}}', abs(amount)) || ' · _' || category || '_' FROM evidence""",
         "prompt_context": f"""WITH {GOLDEN_HITS}, {ANSWERS},
+            listed AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN complete THEN amount ELSE distance END, txn_id) AS rank FROM evidence),
             opening AS (SELECT a.question_id, CASE WHEN a.count = 0 THEN ['No relevant transactions found.'] ELSE
               [CASE WHEN a.complete THEN 'RETRIEVED TRANSACTIONS — the COMPLETE set matching your filter (' || a.count || ' transactions).'
                     ELSE 'RETRIEVED TRANSACTIONS (' || a.count || ' most relevant to your question):' END,
@@ -365,7 +388,7 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT question_id, 3, i - 1, ls[i] FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM closing)
             UNION ALL SELECT question_id, 2, rank - 1, '  [' || lpad(cast(rank AS varchar), cast(greatest(2, len(cast(rank AS varchar))) AS int), '0') || '] ' || cast(date AS varchar) || '  |  ' ||
               rpad(description, cast(greatest(45, len(description)) AS int), ' ') || '  |  ₹' || format('{{:>10}}', format('{{:,.2f}}', abs(amount))) || '  |  ' || category || '  |  ' || transaction_type
-            FROM evidence""",
+            FROM listed""",
         "category_summary": f"""{BASE}, c AS (SELECT category, {_sum('amount')} AS total, count(*) AS txn_count FROM ledger GROUP BY 1),
             b AS (SELECT abs(sum(total)) AS base FROM c WHERE category NOT IN ('Income', 'Savings/Transfer')),
             p AS (SELECT category, {_d('total')} AS total_amount, txn_count,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook import vocab
@@ -48,8 +48,14 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger with row ids, written once like any index a query would read."""
-    return materialize(identity.with_txn_id(fx.ledger(spark, sf)))
+    """The stored index: vectors and metadata, one folder per year and month."""
+    path = scratch_path(spark, "index")
+    sinks.write_index(sinks.build_index(fx.ledger(spark, sf)), path)
+    return sinks.read_index(spark, path)
+
+
+def _vector_text() -> Column:
+    return F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), ",")
 
 
 def _golden_plans(spark: SparkSession) -> DataFrame:
@@ -171,9 +177,7 @@ def _(spark, sf):
 
 @query("index_write_read")
 def _(spark, sf):
-    path = scratch_path(spark, "index")
-    sinks.write_index(sinks.build_index(fx.ledger(spark, sf), embed=False), path)
-    return sinks.read_index(spark, path)
+    return _index(spark, sf).withColumn("embedding", _vector_text())
 
 
 @query("ledger_fingerprint")
@@ -284,7 +288,8 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("categorize_case")
 def _(spark, sf):
-    return categorize.with_category(_texts(spark, sf)).drop("description")
+    case = categorize.category_case(F.coalesce("description", F.lit("")))
+    return _texts(spark, sf).withColumn("category", case).drop("description")
 
 
 @query("categorize_rules_table")
@@ -410,7 +415,7 @@ def _(spark, sf):
 @query("embed_chunks")
 def _(spark, sf):
     rows = with_embedding(filters.with_chunk(fx.ledger(spark, sf)).select("chunk"))
-    return rows.select("chunk", F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), ",").alias("embedding"))
+    return rows.select("chunk", _vector_text().alias("embedding"))
 
 
 @query("eval_expected_rows")
@@ -434,7 +439,7 @@ def _(spark, sf):
 @query("answer_totals")
 def _(spark, sf):
     planned = plans.plan_questions(fx.questions(spark, sf))
-    return answers.answer_totals_from_ledger(planned, fx.ledger(spark, sf))
+    return answers.answer_all(planned, _index(spark, sf))
 
 
 @query("answer_confidence")
@@ -458,7 +463,7 @@ def _(spark, sf):
 @query("prompt_context")
 def _(spark, sf):
     _, planned, hits = _golden_hits(spark, sf)
-    return answers.prompt_context(planned, answers.answer_totals(planned, hits), answers.evidence(hits))
+    return answers.prompt_context(planned, answers.answer_totals(planned, hits), answers.context_order(hits))
 
 
 # Reports
