@@ -115,7 +115,10 @@ def comparison_units(lists: DataFrame, block: int) -> DataFrame:
 
 
 def _links_of_unit(nodes: list[int], sides: list[int], sets: list[np.ndarray], sketch: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join what is similar in a unit, a spanning forest of them."""
+    """What similar pairs join in a unit: each joined set with the smallest one it is joined with.
+
+    Stars, not chains of the pairs themselves, so that few rounds name the components.
+    """
     n = len(nodes)
     if n < 2:
         return []
@@ -145,19 +148,20 @@ def _links_of_unit(nodes: list[int], sides: list[int], sets: list[np.ndarray], s
             i = root[i]
         return i
 
-    links = []
     for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
         x, y = top(i), top(j)
         if x != y:
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 root[x] = y
-                links.append((nodes[i], nodes[j]))
-    return links
+    least: dict[int, int] = {}
+    for i in range(n):
+        least[top(i)] = min(nodes[i], least.get(top(i), nodes[i]))
+    return [(least[top(i)], nodes[i]) for i in range(n) if least[top(i)] != nodes[i]]
 
 
 def verified_links(units: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int) -> DataFrame:
-    """(a, b): links of the units, confirmed on the full sets.
+    """(a, b): sets that the units' links join, each link confirmed on the full sets.
 
     Only the texts of sets that are compared are read again.  They are found by a merge
     join at any size, so that plan and cost are alike for small and large inputs.
