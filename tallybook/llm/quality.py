@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import map_batches
+from tallybook.session import materialize
 
 BINS = 12
 FEATURES = 13
@@ -169,7 +170,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     keys = {"_host": _key(F.col(host)), "_path": _key(F.col(host), F.col(path))}
     narrow = with_evidence(docs.select("text", host, path), evidence).select(
         keys["_host"].alias("host"), keys["_path"].alias("path"), (1 / (1 + F.exp(-(F.col("log_ratio") + prior)))).alias("p"))
-    rates = site_rates(narrow, evidence.prior).select(F.col("path").alias("_path"), F.col("rate").alias("_rate"))
+    # Written, so that Spark knows the table's size when it chooses how to join it.
+    rates = materialize(site_rates(narrow, evidence.prior).select(F.col("path").alias("_path"), F.col("rate").alias("_rate")))
     rows = with_evidence(docs, evidence).withColumn("_path", keys["_path"]).join(rates, "_path")
     rate = F.least(F.greatest(F.col("_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
     score = 1 / (1 + F.exp(-(F.col("log_ratio") + F.log(rate / (1 - rate)))))
