@@ -128,7 +128,8 @@ def site_rates(scored: DataFrame, prior: float) -> DataFrame:
     estimated from how much the groups differ beyond chance (method of moments).  Sums per
     path are taken first (partial sums before the shuffle), all else is on that table.
     """
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good"))
+    # Written: all that follows reads this table, and the texts are read once for it.
+    paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     rate = F.sum("host_good") / F.sum("host_n")
     total = hosts.agg(
