@@ -19,6 +19,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SHORT = [
     "clean_ledger", "cells_headered", "cells_positional", "resp_dedupe_utr", "categorize_case",
     "rules_shadowed", "plan_questions", "answer_totals", "knn_join", "retrieve_batch",
+    "src_mixed_headers", "index_write_read", "prompt_context", "knn_lsh", "norm_dates", "ledger_fingerprint",
     "category_summary", "kpi_cards", "text_answer_matches", "eval_report",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TALLYBOOK_ALL_CHECKS") else SHORT
