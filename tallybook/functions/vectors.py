@@ -72,13 +72,22 @@ def to_matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 
-def cosine_distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """1 - cosine for every row and query; a zero vector is at distance 1."""
-    dots = rows @ queries.T
-    squares = np.outer((rows * rows).sum(axis=1), (queries * queries).sum(axis=1))
+#: More than single precision can be off in a product of unit vectors.
+_SLACK = 1e-4
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in single precision; zero vectors stay."""
+    lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return (vectors / np.where(lengths > 0, lengths, 1)).astype(np.float32)
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 - cosine of each row of ``a`` and ``b``; a zero vector is at distance 1."""
+    dots = np.einsum("ij,ij->i", a, b)
+    squares = (a * a).sum(axis=1) * (b * b).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = np.where(squares > 0, dots / np.sqrt(squares), 0.0)
-    return np.round(1.0 - cosine, 9)
+        return np.round(1.0 - np.where(squares > 0, dots / np.sqrt(squares), 0.0), 9)
 
 
 def candidate_scan(
@@ -95,7 +104,8 @@ def candidate_scan(
     ``vector_column`` holds vectors, or texts when there is a ``factory``; texts are
     embedded on the spot, so their vectors never leave the worker.  Each slice of rows is
     one matrix of distances whose k smallest per query are merged with those so far (ties
-    by id, as in the final ranking); a partition gives at most k rows a query, once, at
+    by id, as in the final ranking).  Products of unit vectors in single precision, with some
+    slack, leave few pairs to compute exactly; a partition gives at most k rows a query, once, at
     its end.
     """
 
@@ -103,7 +113,7 @@ def candidate_scan(
         model = factory() if factory else None
         kept, names = None, None
         owners, distances = np.zeros((0, 2), np.int64), np.zeros(0)  # query and row of ``kept``
-        limit = np.full(len(queries), np.inf)
+        limit, asked = np.full(len(queries), np.inf), _unit(queries)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_column)).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
@@ -112,10 +122,12 @@ def candidate_scan(
             rest = batch.drop_columns([vector_column])
             step = max(1, _CELLS_AT_ONCE // max(1, len(queries)))
             for start in range(0, len(matrix), step):
-                found = cosine_distances(queries, matrix[start:start + step])
-                if found.shape[1] > k:
-                    limit = np.minimum(limit, np.partition(found, k - 1, axis=1)[:, k - 1])
-                owner, row = np.nonzero(found <= limit[:, None])
+                piece = matrix[start:start + step]
+                alike = asked @ _unit(piece).T
+                if alike.shape[1] > k and np.isinf(limit).any():
+                    limit = np.minimum(limit, 1 - np.partition(alike, -k, axis=1)[:, -k] + _SLACK)
+                owner, row = np.nonzero(alike >= (1 - limit - _SLACK).astype(np.float32)[:, None])
+                exact = pair_distances(queries[owner], piece[row])
                 used, place = np.unique(row, return_inverse=True)
                 new = rest.take(pa.array(used + start))
                 offset = 0 if kept is None else kept.num_rows
@@ -123,7 +135,7 @@ def candidate_scan(
                 names = ids[used + start] if names is None else np.concatenate([names, ids[used + start]])
                 all_owners = np.concatenate([owners[:, 0], owner])
                 all_rows = np.concatenate([owners[:, 1], place + offset])
-                all_distances = np.concatenate([distances, found[owner, row]])
+                all_distances = np.concatenate([distances, exact])
                 order = np.lexsort((names[all_rows], all_distances, all_owners))
                 sorted_owners = all_owners[order]
                 rank = np.arange(len(order)) - np.searchsorted(sorted_owners, sorted_owners)
