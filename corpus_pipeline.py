@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import decontam, mixing, neardup, pii, quality
+from tallybook.llm.common import columns_of
 from tallybook.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -14,7 +15,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from the table ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).where("quality_kept").select(*docs.columns)
+    found = quality.classify(docs, labels)
+    return found.where(found.columns[-1]).select(*columns_of(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

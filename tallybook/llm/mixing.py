@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import WORD
+from tallybook.llm.common import WORD, free_name
 
 #: Leading hex digits of a document's key that name its slice of the key range.
 SLICE_DIGITS = 3
@@ -101,16 +101,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     The same columns and ``mix_target`` (of the source, in words), ``mix_taken`` (words of
     this document, repeats counted; the last document of a source may give only its first
-    words).  A document is found again by its id, source and size; repeated rows are alike.
+    words); where a given column has such a name, the added one gets underscores before it.
+    A document is found again by its id, source and size; repeated rows are alike.
     """
+    source, size, copy, target, words = (free_name(docs, n) for n in ("mix_source", "mix_size", "mix_copy", "mix_target", "mix_taken"))
     taken = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     # Rows that agree in all three are alike but for the one on the border: number them.
-    same = Window.partitionBy("doc_id", "_source", "_size").orderBy(F.desc("_taken"))
-    plan = taken.select("doc_id", F.col("source_key").alias("_source"), F.col("size").alias("_size"), F.col("target").alias("mix_target"), F.col("taken").alias("_taken"))
-    plan = plan.withColumn("_copy", F.row_number().over(same))
-    mine = Window.partitionBy("doc_id", "_source", "_size").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("_source", source_key(F.col("source"))).withColumn("_size", n_words(F.col("text")))
-    rows = rows.withColumn("_copy", F.row_number().over(mine))
-    on = [rows["doc_id"].eqNullSafe(plan["doc_id"]), *(rows[c] == plan[c] for c in ("_source", "_size", "_copy"))]
-    return rows.join(plan, on).where("_taken > 0").select(
-        *(rows[c] for c in docs.columns), plan["mix_target"], plan["_taken"].alias("mix_taken"))
+    same = Window.partitionBy("doc_id", source, size).orderBy(F.desc(words))
+    plan = taken.select("doc_id", F.col("source_key").alias(source), F.col("size").alias(size), F.col("target").alias(target), F.col("taken").alias(words))
+    plan = plan.withColumn(copy, F.row_number().over(same)).withColumnRenamed("doc_id", "plan_id")
+    mine = Window.partitionBy("doc_id", source, size).orderBy(F.xxhash64("text"))
+    rows = docs.withColumn(source, source_key(F.col("source"))).withColumn(size, n_words(F.col("text")))
+    rows = rows.withColumn(copy, F.row_number().over(mine))
+    on = [rows["doc_id"].eqNullSafe(plan["plan_id"]), *(rows[c] == plan[c] for c in (source, size, copy))]
+    given = [rows[f"`{c.replace('`', '``')}`"] for c in docs.columns]
+    return rows.join(plan, on).where(plan[words] > 0).select(*given, plan[target], plan[words])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import WORD, WordHashes, map_batches, shingles, words_of
+from tallybook.llm.common import WORD, WordHashes, columns_of, free_name, map_batches, shingles, words_of
 from tallybook.session import materialize
 
 #: A null id counts as the smallest one.
@@ -275,7 +275,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75, sketch: int =
     found = resolved(docs.select(_id().alias("id"), "text"), size, percent, sketch, block)
     kept = found.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "copy")).alias("k")).select("k.*").distinct()
     filled = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    rows = docs.where(filled).withColumns({"_id": _id(), "_copy": F.xxhash64("text")})
+    id_name, copy_name = free_name(docs, "row_id"), free_name(docs, "row_copy")
+    rows = docs.where(filled).withColumns({id_name: _id(), copy_name: F.xxhash64("text")})
     # The join leaves equal rows together: dropping repeated ones moves nothing again.
-    rows = rows.join(kept, [rows["_id"] == kept["id"], rows["_copy"] == kept["copy"]], "left_semi").dropDuplicates(["_id", "_copy"])
-    return rows.select(*docs.columns).union(docs.where(~filled))
+    kept = kept.select(F.col("id").alias(id_name), F.col("copy").alias(copy_name))
+    rows = rows.join(kept, [id_name, copy_name], "left_semi").dropDuplicates([id_name, copy_name])
+    return rows.select(*columns_of(docs)).union(docs.where(~filled))

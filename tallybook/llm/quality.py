@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallybook.llm.common import map_batches
+from tallybook.llm.common import columns_of, free_name, map_batches
 from tallybook.session import materialize
 
 BINS = 12
@@ -97,8 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Evidence:
     return train(table[order], good[order])
 
 
-def with_evidence(docs: DataFrame, evidence: Evidence) -> DataFrame:
-    """The same columns (text among them) and ``log_ratio``, in one pass over whole texts."""
+def with_evidence(docs: DataFrame, evidence: Evidence, name: str = "log_ratio") -> DataFrame:
+    """The same columns (text among them) and ``name``, in one pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +107,9 @@ def with_evidence(docs: DataFrame, evidence: Evidence) -> DataFrame:
         for batch in batches:
             rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             scores = evidence.log_ratio(rows) if len(rows) else np.zeros(0)
-            yield batch.append_column(pa.field("log_ratio", pa.float64()), pa.array(scores, pa.float64()))
+            yield batch.append_column(pa.field(name, pa.float64()), pa.array(scores, pa.float64()))
 
-    return map_batches(docs, work, f"{_ddl(docs)}, log_ratio double")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return map_batches(docs, work, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def _key(*columns: Column) -> Column:
@@ -164,16 +161,20 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     twice, whole: once for the rates, once for the result; the table of rates has a row a
     path and is joined.  Null hosts and paths are groups of their own; null and empty texts
     have the evidence of empty texts; repeated rows get the same result; without labels all
-    evidence is neutral.
+    evidence is neutral.  Where a given column has the name of an added one, the added one
+    gets underscores before its name; given columns are never changed.
     """
     evidence = fit(docs, labels, sample)
     prior = float(np.log(evidence.prior / (1 - evidence.prior)))
-    keys = {"_host": _key(F.col(host)), "_path": _key(F.col(host), F.col(path))}
+    host_key, path_key = _key(F.col(host)), _key(F.col(host), F.col(path))
     narrow = with_evidence(docs.select("text", host, path), evidence).select(
-        keys["_host"].alias("host"), keys["_path"].alias("path"), (1 / (1 + F.exp(-(F.col("log_ratio") + prior)))).alias("p"))
+        host_key.alias("host"), path_key.alias("path"), (1 / (1 + F.exp(-(F.col("log_ratio") + prior)))).alias("p"))
     # Written, so that Spark knows the table's size when it chooses how to join it.
-    rates = materialize(site_rates(narrow, evidence.prior).select(F.col("path").alias("_path"), F.col("rate").alias("_rate")))
-    rows = with_evidence(docs, evidence).withColumn("_path", keys["_path"]).join(rates, "_path")
-    rate = F.least(F.greatest(F.col("_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
-    score = 1 / (1 + F.exp(-(F.col("log_ratio") + F.log(rate / (1 - rate)))))
-    return rows.withColumn("quality_score", score).select(*docs.columns, "quality_score", (F.col("quality_score") >= least).alias("quality_kept"))
+    at, found = free_name(docs, "path_key"), free_name(docs, "path_rate")
+    rates = materialize(site_rates(narrow, evidence.prior).select(F.col("path").alias(at), F.col("rate").alias(found)))
+    ratio = free_name(docs, "log_ratio")
+    rows = with_evidence(docs, evidence, ratio).withColumn(at, path_key).join(rates, at)
+    rate = F.least(F.greatest(F.col(found), F.lit(1e-4)), F.lit(1 - 1e-4))
+    score = 1 / (1 + F.exp(-(F.col(ratio) + F.log(rate / (1 - rate)))))
+    name = free_name(docs, "quality_score")
+    return rows.select(*columns_of(docs), score.alias(name)).withColumn(free_name(docs, "quality_kept"), F.col(name) >= least)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallybook.llm import decontam, neardup, pii, quality
@@ -84,3 +85,21 @@ def test_clashing_columns_pass_through(spark, folder):
     assert decontam.without_leaks(docs, benchmark).count() == docs.count() - 1
     assert pii.redact_pii(docs).columns == docs.columns
     assert corpus_pipeline.mixing_stage(spark, docs, folder).columns == [*docs.columns, "mix_target", "mix_taken"]
+
+
+#: Names that the operators use inside or give to their results.
+CLASHES = (
+    "id", "copy", "group", "node", "row_id", "row_copy", "path", "host", "p", "path_key", "path_rate", "Log_Ratio", "quality_score", "quality_kept",
+    "mix_source", "mix_size", "mix_copy", "mix_target", "mix_taken", "plan_id", "source_key")
+
+
+def test_every_given_column_keeps_its_values(spark, folder):
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain.select("*", *[F.lit(n).alias(name) for n, name in enumerate(CLASHES)])
+    marks = [F.col(name) == n for n, name in enumerate(CLASHES)]
+    for _, stage in corpus_pipeline.STAGES:
+        out, without = stage(spark, docs, folder), stage(spark, plain, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert out.where(~F.forall(F.array(*marks), lambda x: x)).count() == 0
+        assert rows_of(out.select(*plain.columns)) == rows_of(without.select(*plain.columns))
+    assert out.columns[-2:] == ["_mix_target", "_mix_taken"]
