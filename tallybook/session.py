@@ -17,6 +17,9 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Folder of written tables by application and shared folder.
+_ROOTS: dict[tuple[str, str], str] = {}
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Apply the settings the engine is written for to a session builder."""
@@ -42,8 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for one written table."""
-    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder for one written table.
+
+    All tables of one application lie in one folder, which the file system removes when
+    the driver ends.
+    """
+    context = spark.sparkContext
+    key = (context.applicationId, shared_dir(spark))
+    if key not in _ROOTS:
+        root = f"{key[1]}/tables/{key[0]}-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[key] = root
+    return f"{_ROOTS[key]}/{uuid.uuid4().hex}/{name}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,16 +73,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that is stored in fewer pieces than there are cores.
-
-    A small file with one row group is one task, however many cores wait.  A table of
-    many pieces, as any large one, is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` (short) rows.
 

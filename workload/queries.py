@@ -22,7 +22,7 @@ from tallybook.operators import (
     retrieve,
 )
 from tallybook.plans import questions as plans
-from tallybook.session import materialize, scratch_path, spread
+from tallybook.session import materialize, scratch_path
 from tallybook.sources import cells as cell_source
 from tallybook.sources import responses as response_source
 from tallybook.sources import sinks, statements
@@ -215,7 +215,7 @@ def _(spark, sf):
 @query("norm_descriptions")
 def _(spark, sf):
     ledger = clean.clean_descriptions(clean.normalize_columns(fx.raw_ledger(spark, sf)))
-    documents = spread(fx.table(spark, sf, "documents")).select(F.col("text").alias("description"))
+    documents = fx.spread(fx.table(spark, sf, "documents")).select(F.col("text").alias("description"))
     texts = clean.clean_descriptions(documents)
     return ledger.select("description").unionByName(texts).groupBy("description").agg(
         F.count(F.lit(1)).alias("n"))
@@ -279,7 +279,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, conversation turn and page as a description to categorize."""
     parts = [("documents", "doc_id", "text"), ("conversations", "conv_id", "text"), ("pages", "page_id", "html")]
     frames = [
-        spread(fx.table(spark, sf, name)).select(
+        fx.spread(fx.table(spark, sf, name)).select(
             F.lit(name).alias("source"), F.col(key).alias("id"), F.col(column).alias("description"))
         for name, key, column in parts
     ]
