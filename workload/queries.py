@@ -80,7 +80,7 @@ def _(spark, sf):
 
 
 def _write_feeds(spark: SparkSession, sf: str) -> str:
-    """The whole ledger in three folders: Latin-1, UTF-8 with mark, plain UTF-8."""
+    """The whole ledger in three folders: Latin-1, UTF-8 with mark and wide, plain UTF-8 with line breaks."""
     root = scratch_path(spark, "feeds")
     rows = fx.typed(spark, sf)
     day = F.date_format("date", "yyyy-MM-dd")
@@ -94,10 +94,11 @@ def _write_feeds(spark: SparkSession, sf: str) -> str:
     out(rows.where(flag == "A").select(
         day.alias("Trans Date"), accent.alias("Payee"), F.col("amount").alias("Value")), "a", "ISO-8859-1")
     out(rows.where(flag == "N").select(
-        day.alias("﻿Date"), accent.alias("Details"),
+        day.alias("﻿Date"), *[F.lit("").alias(f"Extra {i}") for i in range(30)], accent.alias("Details"),
         F.format_string("%.2f", "amount").alias("Amount")), "n")
+    broken = F.when(F.col("l_orderkey") % 7 == 0, F.concat("description", F.lit("\né"))).otherwise(accent)
     out(rows.where(flag == "R").select(
-        F.when(F.col("amount") < 0, size).alias("Debit"), accent.alias("Memo"),
+        F.when(F.col("amount") < 0, size).alias("Debit"), broken.alias("Memo"),
         F.when(F.col("amount") > 0, size).alias("Credit"), day.alias("Posted Date")), "r")
     return root
 
