@@ -68,25 +68,44 @@ _LOOKALIKES = dict(zip(
 _DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
     "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5",
+    "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7",
+    "ocho": "8", "nueve": "9",
 }
-#: Least number of neighbouring spelled digits that are read as a number.
+# FIXED VALUES: words for the signs; those that mean nothing else need no dot word after them.
+_DOT, _PLUS, _AT_WORDS = "(?:dot|point|punkt|punto)", "(?:plus|más|mas)", "(?:arobase|arrobase|arroba|klammeraffe)"
+#: Least number of neighbouring digits, one of them spelled, that are read as a number.
 LEAST_SPELLED = 4
 
-_WORD = "(?:" + "|".join(_DIGIT_WORDS) + ")"
+_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _GAP = r"[ \t]*[ \t,-][ \t]*"
-_DOTTED = r"(?:[ \t]+dot[ \t]+|[ \t]*[\(\[\{][ \t]*dot[ \t]*[\)\]\}][ \t]*)"
+_DOTTED = rf"(?:[ \t]+{_DOT}[ \t]+|[ \t]*[\(\[\{{][ \t]*{_DOT}[ \t]*[\)\]\}}][ \t]*)"
 _SPELLED = re.compile(
-    rf"\b(?:plus[ \t]+)?{_WORD}(?:(?:{_GAP}|{_DOTTED}){_WORD}){{{LEAST_SPELLED - 1},}}\b", re.I)
-_SPELLED_PART = re.compile(rf"({_WORD})\b|(plus)|({_DOTTED})|({_GAP})", re.I)
-_AT_SIGN = r"[ \t]*[\(\[\{<][ \t]*(?:at|@)[ \t]*[\)\]\}>][ \t]*"
-_DOT_SIGN = r"[ \t]*[\(\[\{<][ \t]*(?:dot|\.)[ \t]*[\)\]\}>][ \t]*"
+    rf"\b(?:{_PLUS}[ \t]+)?{_WORD}(?:(?:{_GAP}|{_DOTTED}){_WORD}){{{LEAST_SPELLED - 1},}}\b", re.I)
+_SPELLED_PART = re.compile(rf"({_WORD})\b|({_PLUS})|({_DOTTED})|({_GAP})", re.I)
+# Spelled digits and numerals in one number, written without backtracking into blanks.
+_UNIT = rf"(?:{_WORD}\b|[0-9]++)"
+_BREAK = r"(?:[ \t]++(?:[,-][ \t]*+)?|[,-][ \t]*+)"
+_POINT = rf"(?:[ \t]++{_DOT}[ \t]++|[ \t]*+[\(\[\{{][ \t]*+{_DOT}[ \t]*+[\)\]\}}][ \t]*+|\.)"
+_MIXED = re.compile(rf"\b(?:{_PLUS}[ \t]++)?{_UNIT}(?>(?:{_POINT}|{_BREAK}){_UNIT})++(?![A-Za-z])", re.I)
+_MIXED_PART = re.compile(rf"({_WORD})\b|({_PLUS})|({_POINT})|({_BREAK})|[0-9]++", re.I)
+_BESIDE = re.compile(rf"\b{_WORD}(?:{_POINT}|{_BREAK})[0-9]|[0-9](?:{_POINT}|{_BREAK}){_WORD}\b")
+_AT_SIGN = rf"[ \t]*[\(\[\{{<][ \t]*(?:at|@|{_AT_WORDS})[ \t]*[\)\]\}}>][ \t]*"
+_DOT_SIGN = rf"[ \t]*[\(\[\{{<][ \t]*(?:{_DOT}|\.)[ \t]*[\)\]\}}>][ \t]*"
 _DISGUISED = re.compile(
-    rf"(?P<at>{_AT_SIGN})|(?P<dot>{_DOT_SIGN}|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9]))"
-    r"|(?P<bare>(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|[ \t]*[\(\[\{<][ \t]*(?:dot|\.)[ \t]*[\)\]\}>])))", re.I)
+    rf"(?P<at>{_AT_SIGN}|(?<=[A-Za-z0-9])[ \t]+{_AT_WORDS}[ \t]+(?=[A-Za-z0-9]))"
+    rf"|(?P<dot>{_DOT_SIGN}|(?<=[A-Za-z0-9])[ \t]+{_DOT}[ \t]+(?=[A-Za-z0-9]))"
+    rf"|(?P<bare>(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+{_DOT}[ \t]+|[ \t]*[\(\[\{{<][ \t]*(?:{_DOT}|\.)[ \t]*[\)\]\}}>])))", re.I)
 _ODD = re.compile("[" + "".join(_LOOKALIKES) + "­  -― ⁠−　﻿！-～٠-٩۰-۹०-९]")
 _INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
-#: Without one of these a text has nothing to normalise.
-_TRIGGER = re.compile(_ODD.pattern + rf"|[\(\[\{{<][ \t]*(?:at|dot|@|\.)[ \t]*[\)\]\}}>]|[ \t]dot[ \t]|\b{_WORD}{_GAP}{_WORD}\b", re.I)
+#: Without one of these or an odd character a text has nothing to normalise.  They and
+#: _BESIDE are for folded texts: patterns that ignore case are several times as slow.
+_TRIGGER = re.compile(
+    rf"[\(\[\{{<][ \t]*(?:at|{_DOT}|@|\.|{_AT_WORDS})[ \t]*[\)\]\}}>]|[ \t](?:dot|{_AT_WORDS})[ \t]"
+    rf"|[ \t]at[ \t]+[A-Za-z0-9-]+[ \t]+{_DOT}[ \t]|\b{_WORD}{_GAP}{_WORD}\b")
+_DOT_WORD = re.compile(rf"[ \t]{_DOT}[ \t]")
 
 
 class Normalised:
@@ -153,46 +172,73 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), m.end(), "." if m[3] else ("+" if m[2] else "")
 
 
+def _mixed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Numbers of spelled digits and numerals side by side."""
+    for run in _MIXED.finditer(text):
+        parts = list(_MIXED_PART.finditer(text, run.start(), run.end()))
+        digits = [_DIGIT_WORDS[m[1].lower()] if m[1] else m[0] for m in parts if m.lastindex in (None, 1)]
+        if sum(map(len, digits)) < LEAST_SPELLED or not any(m[1] for m in parts):
+            continue
+        for m in parts:
+            if m[1]:
+                yield m.start(), m.end(), _DIGIT_WORDS[m[1].lower()]
+            elif m.lastindex:
+                yield m.start(), m.end(), "." if m[3] else ("+" if m[2] else "")
+
+
 def _signs(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _DISGUISED.finditer(text):
         yield m.start(), m.end(), "." if m["dot"] else "@"
 
 
-def disguised_spans(text: str, base: list[Span]) -> list[Span]:
+def disguised_spans(text: str, base: list[Span], split: bool = False) -> list[Span]:
     """Identifiers that only show after normalising, as spans of the source text.
 
     Three transducers run one after the other: characters (look-alikes, full width, other
-    digits, invisible ones), spelled digits, at and dot signs.  A span that nothing was
-    rewritten in, or that overlaps a base span or an earlier added one, is not added.
+    digits, invisible ones), spelled digits, at and dot signs.  Where spelled digits stand
+    beside numerals, the steps run again with both as one number.  A span that nothing was
+    rewritten in, or that lies inside a base span or an earlier added one, is not added;
+    wider ones stand beside the base spans.  Where invisible characters alone split an
+    identifier of which a base span is left, that one stays alone unless ``split`` is set.
     """
-    if not _TRIGGER.search(text):
+    characters = Normalised(text).rewritten(_characters(text))
+    folded = characters.text.casefold()
+    mixed = _BESIDE.search(folded)
+    if not (mixed or characters.text != text or _TRIGGER.search(folded) or ("@" in text and _DOT_WORD.search(folded))):
         return []
-    steps = [Normalised(text)]
-    for rules in (_characters, _spelled, _signs):
-        steps.append(steps[-1].rewritten(rules(steps[-1].text)))
-    taken = [(s, e) for _, s, e in base]
-    out = []
-    for kind, start, end in base_spans(steps[-1].text):
-        changed = False
-        for step in reversed(steps[1:]):
-            start, end, here = step.source(start, end)
-            changed |= here
-        while start < end and text[start] in " \t":
-            start += 1
-        while start < end and text[end - 1] in " \t":
-            end -= 1
-        if changed and start < end and all(end <= s or e <= start for s, e in taken):
-            out.append((kind, start, end))
-            taken.append((start, end))
+    found = []
+    for rules in (_spelled, _mixed) if mixed else (_spelled,):
+        steps = [characters]
+        for step in (rules, _signs):
+            steps.append(steps[-1].rewritten(step(steps[-1].text)))
+        for kind, first, last in base_spans(steps[-1].text):
+            start, end, changed = first, last, False
+            for step in reversed(steps):
+                start, end, here = step.source(start, end)
+                changed |= here
+            while start < end and text[start] in " \t":
+                start += 1
+            while start < end and text[end - 1] in " \t":
+                end -= 1
+            if changed and start < end:
+                found.append((kind, start, end, steps[-1].text[first:last]))
+    taken, out = [(s, e) for _, s, e in base], []
+    for kind, start, end, plain in found:
+        if any(s <= start and end <= e for s, e in taken):
+            continue
+        if not split and any(s < end and start < e for _, s, e in base) and plain == "".join(c for c in text[start:end] if c not in _INVISIBLE):
+            continue
+        out.append((kind, start, end))
+        taken.append((start, end))
     return out
 
 
-def spans_of(text: str | None) -> list[tuple[str, int, int, str]]:
+def spans_of(text: str | None, split: bool = False) -> list[tuple[str, int, int, str]]:
     """All spans of a text (kind, start, end, found) by kind as listed, then start."""
     if not text:
         return []
     base = base_spans(text)
-    rows = [(*s, "base") for s in base] + [(*s, "disguised") for s in disguised_spans(text, base)]
+    rows = [(*s, "base") for s in base] + [(*s, "disguised") for s in disguised_spans(text, base, split)]
     return sorted(rows, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -201,7 +247,7 @@ def redacted(text: str | None) -> str | None:
     if not text:
         return text
     parts, at = [], 0
-    for kind, start, end, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
+    for kind, start, end, _ in sorted(spans_of(text, split=True), key=lambda s: (s[1], -s[2])):
         if start >= at:
             parts += [text[at:start], f"[{kind.upper()}]"]
         at = max(at, end)

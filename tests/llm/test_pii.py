@@ -61,6 +61,31 @@ def test_disguises(text, kind, source):
     assert [(s[0], text[s[1]:s[2]], s[3]) for s in spans] == [(kind, source, "disguised")]
 
 
+@pytest.mark.parametrize("text, kind, source, base", [
+    ("x jоhn@example.com y", "email", "jоhn@example.com", "hn@example.com"),
+    ("x john@example.cоm y", "email", "john@example.cоm", "john@example.c"),
+    ("x john@mail.example dot com y", "email", "john@mail.example dot com", "john@mail.example"),
+    ("call +1 202 555 014３ now", "phone", "+1 202 555 014３", "+1 202 555 014"),
+    ("ip 192 dot one six eight dot 0 dot 1 x", "ip", "192 dot one six eight dot 0 dot 1", None),
+    ("ip 192.168.0.one x", "ip", "192.168.0.one", None),
+    ("mail jean point dupont arobase poste point fr merci", "email", "jean point dupont arobase poste point fr", None),
+    ("an jo [at] post [punkt] de bitte", "email", "jo [at] post [punkt] de", None),
+    ("tel más tres cuatro nueve uno dos tres cuatro cinco seis siete ya", "phone",
+     "más tres cuatro nueve uno dos tres cuatro cinco seis siete", None),
+    ("ruf plus vier neun drei null 1 2 3 4 5 6 an", "phone", "plus vier neun drei null 1 2 3 4 5 6", None),
+])
+def test_wider_disguises_stand_beside_base_spans(text, kind, source, base):
+    got = [(s[0], text[s[1]:s[2]], s[3]) for s in pii.spans_of(text)]
+    assert sorted(got) == sorted([(kind, source, "disguised"), *([(kind, base, "base")] if base else [])])
+    assert pii.redacted(text) == text.replace(source, f"[{kind.upper()}]")
+
+
+def test_invisible_characters_leave_nothing_behind():
+    assert pii.redacted("x jo\u200bhn@example.com y") == "x [EMAIL] y"
+    for unit in ("1 ", "1 one ", "1.one", "1" + " " * 50, "one\t\t", " point a@", " arobase a"):
+        pii.spans_of(unit * 30_000)
+
+
 @pytest.mark.parametrize("text", [
     "look at example.com and dot your i", "one two three go", "meet at noon (at) home", "they dot the i at noon", ""])
 def test_plain_prose_has_none(text):
