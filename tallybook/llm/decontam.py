@@ -43,8 +43,16 @@ class SizeIndex:
     shingles: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray | None = None
     tables: list[tuple[np.ndarray, list[np.ndarray]]] = field(default_factory=list)
+    repeated: set[int] = field(default_factory=set)  # items in which a shingle comes twice
+    holders: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
 
     def close(self) -> None:
+        for i, found in enumerate(self.shingles):
+            single = np.unique(found)
+            if len(single) < len(found):
+                self.repeated.add(i)
+            for shingle in single.tolist():
+                self.holders[shingle].append(i)
         self.prints = np.concatenate([prints(signs(s).sum(0)[None, :]) for s in self.shingles])
         for block in range(BITS // 16):
             keys, place = np.unique(self.prints[:, block], return_inverse=True)
@@ -67,6 +75,30 @@ class SizeIndex:
         distance = _POPCOUNT[asked[pairs[:, 0]] ^ self.prints[pairs[:, 1]]].sum(1, dtype=np.int64)
         return [tuple(p) for p in pairs[distance <= radius].tolist()]
 
+    def sharing(self, window: np.ndarray, least: float) -> set[int]:
+        """The items that may be ``least`` similar to a window: none that is gets lost.
+
+        Such items lack shingles of a bounded weight, so they hold one of any shingles that
+        weigh more; the rarest are asked.
+        """
+        spare, found = len(window) * (1 - least) / (1 + least), set()
+        weights = Counter(window.tolist())
+        for shingle in sorted(weights, key=lambda s: len(self.holders.get(s, ()))):
+            found.update(self.holders.get(shingle, ()))
+            spare -= weights[shingle]
+            if spare < -1e-9:
+                break
+        return found
+
+
+def next_repeat(own: np.ndarray) -> np.ndarray:
+    """For each place, the first place at which some shingle from there on comes again."""
+    order = np.argsort(own, kind="stable")
+    again = np.full(len(own), len(own) + 1)
+    same = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    again[order[same]] = order[same + 1]
+    return np.minimum.accumulate(again[::-1])[::-1]
+
 
 @dataclass
 class Benchmark:
@@ -103,7 +135,9 @@ def hits(text: str | None, benchmark: Benchmark, words: WordHashes, least: float
     """(item, first word, number of words, similarity) of each item's most similar window.
 
     Windows that have too few shingles of the benchmark to reach ``least`` can't match and
-    get no fingerprint; all others do, at every place and for every size of an item.
+    get no fingerprint; all others do, at every place and for every size of an item.  A
+    repeated shingle moves many bits at once, so windows and items that have one are also
+    compared by their shingles, windows of the same shingles once.
     """
     hashes = words.of(plain_words(text))
     best: dict[int, tuple[float, int, int]] = {}
@@ -122,13 +156,22 @@ def hits(text: str | None, benchmark: Benchmark, words: WordHashes, least: float
         for stretch in np.split(places, np.flatnonzero(np.diff(places) > 2 * reach) + 1):
             low, high = max(0, stretch[0] - reach), min(len(own), stretch[-1] + reach + 1)
             votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(own[low:high]), 0, dtype=np.int32)])
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(own[low:high]))])
+            again = next_repeat(own[low:high])
             for count, index in by_count.items():
                 first = np.arange(low, min(high, len(own) + 1) - count + 1)
                 first = first[total[first + count] - total[first] >= least * count] if len(first) else first
                 if not len(first):
                     continue
                 windows = prints(votes[first - low + count] - votes[first - low])
-                for w, i in index.within(windows, radius):
+                pairs = set(index.within(windows, radius))
+                twice = again[first - low] < first - low + count
+                for w in np.unique(sums[first - low + count] - sums[first - low], return_index=True)[1].tolist():
+                    if twice[w] or index.repeated:
+                        start = int(first[w])
+                        near = index.sharing(own[start : start + count], least)
+                        pairs.update((w, i) for i in near if twice[w] or i in index.repeated)
+                for w, i in sorted(pairs):
                     start = int(first[w])
                     alike = similarity(own[start : start + count], index.shingles[i])
                     item = index.items[i]
@@ -153,7 +196,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: floa
     (ties: the first).  Words are plain (see :func:`plain_words`), shingles have ``size``
     words; a window has as many shingles as the item.  Fingerprints have 128 bits; at the
     threshold two differ in 22 bits on average with a deviation of 4.3, so the radius of 40
-    is four deviations away.  Items without words match nothing, null and empty texts have
+    is four deviations away.  That holds for shingles that differ; where one is repeated, in the
+    window or the item, shared shingles give the candidates instead.  Items without words match nothing, null and empty texts have
     no windows, repeated rows give repeated results, other columns are ignored.  The items
     are the query set: they run against all documents in blocks of ``items_at_once``.
     """

@@ -66,6 +66,23 @@ def test_same_as_brute_force(spark):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_repeated_shingles_same_as_brute_force():
+    rng = random.Random(5)
+    words = lambda n: rng.sample([f"v{i}" for i in range(100_000)], n)
+    items, docs = [], []
+    for i, (shared, run) in enumerate([(154, 24), (226, 32), (92, 14), (34, 4)] * 6):
+        body, tail, zeros = words(shared), words(run), ["0"] * run
+        items.append((i, " ".join(body + (zeros if i % 2 else tail))))
+        docs.append((i, " ".join([*words(7), *body, *(tail if i % 2 else zeros), *words(9)])))
+    docs += [(100, "0 1 " * 500), (101, "0 " * 500)]
+    items += [(100, "0 1 " * 20), (101, "0 0 0 0 0 0 0 0 0 0 0 0 1")]
+    benchmark = decontam.build(items, 5)
+    got = sorted(((d, item, at, n, round(alike, 9)) for d, t in docs
+                  for item, at, n, alike in decontam.hits(t, benchmark, decontam.WordHashes(), 0.75, 40)), key=str)
+    want = brute(docs, items)
+    assert got == want and len(want) >= 8
+
+
 def test_long_text(spark):
     items = [(1, " ".join(f"q{i}" for i in range(30)))]
     rng = random.Random(1)
