@@ -13,12 +13,15 @@ from tallybook.llm import (
     decontam,
     hmm,
     language,
+    merkle,
     mixing,
     neardup,
     pii,
     quality,
     simhash,
     substrings,
+    vectordup,
+    whitening,
 )
 from tallybook.llm.common import crc_of
 
@@ -188,3 +191,69 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     # Digests are taken before the join, so no text moves for it.
     found = substrings.repeats_by_text(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
     return docs.select("doc_id", substrings.text_key(F.col("text")).alias("key")).join(found, "key").drop("key")
+
+
+@query("op11_whiten_embeddings")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whitened(_table(spark, sf, "embeddings", "vec_id", "embedding"))
+    return found.drop("embedding").withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op12_near_vectors")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return vectordup.near_duplicates(_table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = F.when(struck, merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), one_more, F.col("text")))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = merkle.manifest(docs, tampered).select(
+        "doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE_SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, coalesce('/' || lang, '') AS k, n_chars, list_reduce(
+      list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+hashed AS (
+  SELECT doc_id, k, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0
+      THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS tampered
+  FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM hashed),
+nodes AS (
+  SELECT k, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT k, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY k, level, pos // 2, n),
+walk AS (
+  SELECT doc_id, k, leaf, coalesce(tampered, leaf) AS h, pos, n, 0 AS level, '' AS sib FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.k, w.leaf, sha256(CASE WHEN s.h IS NULL THEN w.h WHEN w.pos % 2 = 1 THEN s.h || w.h ELSE w.h || s.h END),
+    w.pos // 2, (w.n + 1) // 2, w.level + 1, w.sib || coalesce(s.h, '')
+  FROM walk w LEFT JOIN nodes s ON s.k = w.k AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+tops AS (
+  SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY level, pos // 2, n),
+upper_walk AS (
+  SELECT w.doc_id, w.leaf, t.subroot, w.h, t.pos, t.n, 0 AS level, w.sib FROM walk w JOIN tops t USING (k) WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, sha256(CASE WHEN s.h IS NULL THEN w.h WHEN w.pos % 2 = 1 THEN s.h || w.h ELSE w.h || s.h END),
+    w.pos // 2, (w.n + 1) // 2, w.level + 1, w.sib || coalesce(s.h, '')
+  FROM upper_walk w LEFT JOIN upper_nodes s ON s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(sib) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM upper_walk w, (SELECT h FROM upper_nodes WHERE n = 1) r WHERE w.n = 1
+"""

@@ -19,7 +19,7 @@ def documents(spark):
 
 
 def test_all_are_registered():
-    assert sorted(int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
