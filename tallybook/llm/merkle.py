@@ -253,11 +253,11 @@ def manifest(docs: DataFrame, tampered: Column | None = None, bits: int = 9) ->
     tops = materialize(ranked.select(F.lit("").alias("lang_key"), (F.col("rank") - 1).cast("bigint").alias("slot"),
                                      F.lit(langs).cast("bigint").alias("n"), F.col("subroot").alias("digest"), F.col("lang_key").alias("lang")))
     upper = forest(tops.select("lang_key", "slot", "n", "digest"), langs, bits)
-    root = upper[-1].select(F.col("digest").alias("root"))
+    root = (upper[-1].first() or {"digest": None})["digest"]  # one value
     none = slots.sparkSession.range(1).select(F.lit("").alias("lang_key"), F.array().cast("array<string>").alias("path"))
     ends = paths_of([tops, *upper[1:]], none, bits).select(F.col("lang").alias("lang_key"), "path")
     ends = materialize(ends)
 
     found = paths_of([leaves, *trees[1:]], ends, bits)
-    found = found.join(subroots, "lang_key").join(F.broadcast(root))  # one row
+    found = found.join(subroots, "lang_key").withColumn("root", F.lit(root).cast("string"))
     return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "path", "tampered")
