@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.values import micros_text
+from tallybook.functions.values import exact_sum, micros_text
 
 _COPIES_PER_TASK = 100_000
 
@@ -46,13 +46,41 @@ def with_txn_id(ledger: DataFrame) -> DataFrame:
     )
 
 
-def ledger_fingerprint(ledger: DataFrame) -> DataFrame:
-    """One row that changes when the ledger does; compare it before a rebuild."""
-    from tallybook.functions.values import exact_sum
-
-    return ledger.agg(
+def _fingerprint() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         exact_sum(F.col("amount")).alias("amount_sum"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-    )
+    ]
+
+
+def ledger_fingerprint(ledger: DataFrame) -> DataFrame:
+    """One row that changes when the ledger does; compare it before a rebuild."""
+    return ledger.agg(*_fingerprint())
+
+
+def month_fingerprints(ledger: DataFrame) -> DataFrame:
+    """The fingerprint of each month (``year, month_num``), for :func:`changed_months`.
+
+    ``content`` adds up a hash of each row, so that also changes show that keep the sums:
+    another description or category, amounts that trade places, one copy more or less.
+    """
+    row = F.xxhash64(*[F.col(c) for c in sorted(ledger.columns)])
+    return ledger.groupBy(F.year("date").alias("year"), F.month("date").alias("month_num")).agg(
+        *_fingerprint(), F.sum(row.cast("decimal(20,0)")).cast("string").alias("content"))
+
+
+def changed_months(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """``year, month_num, action`` of all months: added, changed, removed or kept."""
+    keys = ["year", "month_num"]
+    values = [c for c in now.columns if c not in keys]
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.struct(*values).alias(name))
+
+    both = packed(stored, "old").join(packed(now, "new"), keys, "full")
+    action = (
+        F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
+        .when(F.col("old").eqNullSafe(F.col("new")), "kept").otherwise("changed"))
+    return both.select(*keys, action.alias("action"))

@@ -1,10 +1,10 @@
-"""Exact nearest neighbours by cosine distance, and an approximate index."""
+"""Exact nearest neighbours by cosine distance."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,6 +16,9 @@ from tallybook.functions.vectors import EmbedderFactory, candidate_scan, hashed_
 # mean more passes.
 _QUERIES_PER_PASS = 50_000
 
+#: Pieces in which the candidates of one query are merged first.
+SALTS = 64
+
 
 def _query_blocks(queries: DataFrame, id_column: str):
     total = queries.count()
@@ -43,34 +46,45 @@ def nearest(
 
     Exact.  The index is scanned in place once per block of queries and is never
     shuffled or paired up row by row: a task multiplies its Arrow batches with the
-    query matrix and passes on only rows that can still be among the nearest.  Ranks
+    query matrix and passes on only the ids of rows that can still be among the nearest.
+    These are merged in two bounded steps (:func:`merged`); the other columns of the
+    winners are fetched afterwards by ``row_id``, which must identify a row.  Ranks
     follow the distance (to 9 places), then ``row_id``.  Filter the index before the
     call to rank among matching rows only.  An index without stored vectors names its
     ``text`` column, which is embedded during the scan by the ``factory``.
     """
     source_column = text or vector
-    columns = [f for f in index.schema.fields if f.name != source_column]
     schema = T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
         T.StructField("distance", T.DoubleType()),
-        *columns,
+        T.StructField(row_id, index.schema[row_id].dataType),
     ])
     arrow_schema = to_arrow_schema(schema)
-    source = index.where(F.col(source_column).isNotNull())
+    source = index.where(F.col(source_column).isNotNull()).select(row_id, source_column)
     model = (factory or hashed_tokens()) if text else None
     scans = [
         source.mapInArrow(candidate_scan(ids, matrix, k, source_column, row_id, arrow_schema, model), schema)
         for ids, matrix in _query_blocks(queries.select(query_id, vector), query_id)
     ]
     if not scans:
-        return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    found = reduce(DataFrame.unionByName, scans)
-    order = Window.partitionBy(query_id).orderBy("distance", row_id)
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .withColumn("distance", F.round("distance", 4))
-    )
+        scans = [index.sparkSession.createDataFrame([], schema)]
+    found = reduce(DataFrame.unionByName, scans).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    best = merged(found, query_id, row_id, k).withColumn("distance", F.round("distance", 4))
+    others = [c for c in index.columns if c not in (source_column, row_id)]
+    return best.join(index.select(row_id, *others), row_id) if others else best
+
+
+def merged(found: DataFrame, query_id: str, row_id: str, k: int) -> DataFrame:
+    """The ``k`` nearest of each query's candidates, with ``rank``; ``_salt`` tells their pieces apart.
+
+    First the best of each salt, then the best of those: no task gets more than ``k`` rows a
+    query from each task before it, nor more than salts times ``k`` rows a query at the end.
+    """
+    def best(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("distance", row_id)
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return best(best(found, query_id, "_salt").drop("_salt", "rank"), query_id)
 
 
 def centroids(index: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -83,24 +97,3 @@ def centroids(index: DataFrame, label: str = "label", vector: str = "embedding")
         .agg(F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("dims"))
         .select("query_id", F.transform("dims", lambda d: d["mean"]).alias(vector))
     )
-
-
-def nearest_approximate(
-    index: DataFrame, query: list[float], k: int = vocab.TOP_K, vector: str = "embedding", seed: int = 7
-) -> DataFrame:
-    """About the ``k`` nearest rows of one query by random-projection hashing."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = Normalizer(inputCol="_raw", outputCol="_unit").transform(
-        index.withColumn("_raw", array_to_vector(F.col(vector).cast("array<double>")))
-    )
-    model = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hash", bucketLength=1.0, numHashTables=4, seed=seed
-    ).fit(unit)
-    length = sum(x * x for x in query) ** 0.5 or 1.0
-    key = Vectors.dense([x / length for x in query])
-    hits = model.approxNearestNeighbors(unit, key, k, distCol="_euclid")
-    cosine: Column = F.col("_euclid") * F.col("_euclid") / 2
-    return hits.withColumn("distance", F.round(cosine, 4)).drop("_raw", "_unit", "_hash", "_euclid", vector)

