@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,6 +68,15 @@ def map_batches(
     return df.mapInArrow(work, schema)
 
 
+def by_value(df: DataFrame, value: Any) -> Callable[[], Any]:
+    """Broadcast an object with its class, so that executors need no copy of this package.
+
+    ``SparkContext.broadcast`` names classes by their module, which workers would import.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of a table, whatever signs their names hold."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]

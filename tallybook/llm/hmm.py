@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import WordHashes, map_batches, words_of
+from tallybook.llm.common import by_value, map_batches, words_of, WordHashes
 from tallybook.session import materialize
 
 #: The token after the last word is the empty word, which no text has.
@@ -164,11 +164,11 @@ def expected_counts(model: Model, symbols: list[np.ndarray]) -> tuple[np.ndarray
 
 def _train_once(encoded: DataFrame, model: Model, base: np.ndarray, prior: float) -> Model:
     """One pass of Baum-Welch: counts added up in partitions, then across them."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(encoded, model)
     k, m = model.emit.shape
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         sums = [np.zeros(k), np.zeros((k, k)), np.zeros((k, m))]
         for batch in batches:
             for total, new in zip(sums, expected_counts(model, _symbols(batch)), strict=True):
@@ -254,10 +254,10 @@ def score(docs: DataFrame, states: int = 8, symbols: int = 16_384, frequent: int
     chance[-1] = max(1 - chance.sum(), 1e-12)
     for _ in range(rounds):
         model = _train_once(encoded.where(~F.col("held_out")), model, chance, prior)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             logs = log_likelihoods(model, _symbols(batch)) / np.log(10)
             yield batch.drop_columns(["symbols"]).append_column("states_score", pa.array(logs))

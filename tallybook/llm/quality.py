@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallybook.llm.common import columns_of, free_name, map_batches
+from tallybook.llm.common import by_value, columns_of, free_name, map_batches
 from tallybook.session import materialize
 
 BINS = 12
@@ -100,10 +100,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Evidence:
 
 def with_evidence(docs: DataFrame, evidence: Evidence, name: str = "log_ratio") -> DataFrame:
     """The same columns (text among them) and ``name``, in one pass over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(evidence)
+    shared = by_value(docs, evidence)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = shared.value
+        evidence = shared()
         for batch in batches:
             rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             scores = evidence.log_ratio(rows) if len(rows) else np.zeros(0)
