@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import WordHashes, map_batches, mixed, shingles
+from tallybook.llm.common import WordHashes, by_value, map_batches, mixed, shingles
 
 BITS = 128
+#: Pairs of windows and items that are looked at together, and shingles that get votes together.
+PAIRS_AT_ONCE, SHINGLES_AT_ONCE = 1 << 20, 1 << 14
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _POPCOUNT = np.array([i.bit_count() for i in range(1 << 16)], np.uint8)
@@ -42,7 +44,7 @@ class SizeIndex:
     items: list[int] = field(default_factory=list)
     shingles: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray | None = None
-    tables: list[tuple[np.ndarray, list[np.ndarray]]] = field(default_factory=list)
+    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # a block's keys, and each item's
     repeated: set[int] = field(default_factory=set)  # items in which a shingle comes twice
     holders: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
 
@@ -56,24 +58,26 @@ class SizeIndex:
         self.prints = np.concatenate([prints(signs(s).sum(0)[None, :]) for s in self.shingles])
         for block in range(BITS // 16):
             keys, place = np.unique(self.prints[:, block], return_inverse=True)
-            self.tables.append((keys, [np.flatnonzero(place == i) for i in range(len(keys))]))
+            self.tables.append((keys, place))
 
     def within(self, asked: np.ndarray, radius: int) -> list[tuple[int, int]]:
         """(window, item) pairs with fingerprints at most ``radius`` bits apart, all of them.
 
         Two such fingerprints differ in at most radius / blocks bits in some block, so the
-        keys of each block's table that are that near give all candidates.
+        keys of each block's table that are that near give all candidates.  So wide a radius
+        admits many, so windows go in pieces: a text full of items takes no more memory.
         """
-        near = radius // (BITS // 16)
-        found: set[tuple[int, int]] = set()
-        for block, (keys, members) in enumerate(self.tables):
-            w, k = np.nonzero(_POPCOUNT[asked[:, block][:, None] ^ keys[None, :]] <= near)
-            found.update((int(i), int(j)) for i, key in zip(w, k, strict=True) for j in members[key])
-        if not found:
-            return []
-        pairs = np.array(sorted(found))
-        distance = _POPCOUNT[asked[pairs[:, 0]] ^ self.prints[pairs[:, 1]]].sum(1, dtype=np.int64)
-        return [tuple(p) for p in pairs[distance <= radius].tolist()]
+        near, out = radius // (BITS // 16), []
+        step = max(1, PAIRS_AT_ONCE // len(self.items))
+        for low in range(0, len(asked), step):
+            part = asked[low : low + step]
+            found = np.zeros((len(part), len(self.items)), bool)
+            for block, (keys, place) in enumerate(self.tables):
+                found |= (_POPCOUNT[part[:, block][:, None] ^ keys[None, :]] <= near)[:, place]
+            w, i = np.nonzero(found)
+            close = _POPCOUNT[part[w] ^ self.prints[i]].sum(1, dtype=np.int64) <= radius
+            out += zip((w[close] + low).tolist(), i[close].tolist(), strict=True)
+        return out
 
     def sharing(self, window: np.ndarray, least: float) -> set[int]:
         """The items that may be ``least`` similar to a window: none that is gets lost.
@@ -154,29 +158,32 @@ def hits(text: str | None, benchmark: Benchmark, words: WordHashes, least: float
         reach = max(by_count)
         places = np.flatnonzero(there)
         for stretch in np.split(places, np.flatnonzero(np.diff(places) > 2 * reach) + 1):
-            low, high = max(0, stretch[0] - reach), min(len(own), stretch[-1] + reach + 1)
-            votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(own[low:high]), 0, dtype=np.int32)])
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(own[low:high]))])
-            again = next_repeat(own[low:high])
-            for count, index in by_count.items():
-                first = np.arange(low, min(high, len(own) + 1) - count + 1)
-                first = first[total[first + count] - total[first] >= least * count] if len(first) else first
-                if not len(first):
-                    continue
-                windows = prints(votes[first - low + count] - votes[first - low])
-                pairs = set(index.within(windows, radius))
-                twice = again[first - low] < first - low + count
-                for w in np.unique(sums[first - low + count] - sums[first - low], return_index=True)[1].tolist():
-                    if twice[w] or index.repeated:
+            begin, end = max(0, stretch[0] - reach), min(len(own), stretch[-1] + reach + 1)
+            for low in range(begin, end, SHINGLES_AT_ONCE):  # windows that start in a piece; long stretches have several
+                past = min(low + SHINGLES_AT_ONCE, end)
+                high = min(past + reach, end)
+                votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(own[low:high]), 0, dtype=np.int32)])
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(own[low:high]))])
+                again = next_repeat(own[low:high])
+                for count, index in by_count.items():
+                    first = np.arange(low, min(past, high - count + 1))
+                    first = first[total[first + count] - total[first] >= least * count] if len(first) else first
+                    if not len(first):
+                        continue
+                    windows = prints(votes[first - low + count] - votes[first - low])
+                    pairs = set(index.within(windows, radius))
+                    twice = again[first - low] < first - low + count
+                    for w in np.unique(sums[first - low + count] - sums[first - low], return_index=True)[1].tolist():
+                        if twice[w] or index.repeated:
+                            start = int(first[w])
+                            near = index.sharing(own[start : start + count], least)
+                            pairs.update((w, i) for i in near if twice[w] or i in index.repeated)
+                    for w, i in sorted(pairs):
                         start = int(first[w])
-                        near = index.sharing(own[start : start + count], least)
-                        pairs.update((w, i) for i in near if twice[w] or i in index.repeated)
-                for w, i in sorted(pairs):
-                    start = int(first[w])
-                    alike = similarity(own[start : start + count], index.shingles[i])
-                    item = index.items[i]
-                    if alike >= least and (item not in best or (alike, -start) > (best[item][0], -best[item][1])):
-                        best[item] = (alike, start, count + length - 1)
+                        alike = similarity(own[start : start + count], index.shingles[i])
+                        item = index.items[i]
+                        if alike >= least and (item not in best or (alike, -start) > (best[item][0], -best[item][1])):
+                            best[item] = (alike, start, count + length - 1)
     return sorted((item, start, n, alike) for item, (alike, start, n) in best.items())
 
 
@@ -206,13 +213,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: floa
     schema = f"doc_id {id_type}, item_id {item_type}, first_word bigint, n_words bigint, similarity double"
     out = None
     for block in _blocks(benchmark, items_at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(build(block, size))
+        shared = by_value(docs, build(block, size))
         kind = pa.string() if item_type == "string" else pa.int32() if item_type == "int" else pa.int64()
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
+            words, known = WordHashes(), shared()
             for batch in batches:
-                rows = [(place, *h) for place, t in enumerate(batch.column("text").to_pylist()) for h in hits(t, shared.value, words, least, radius)]
+                rows = [(place, *h) for place, t in enumerate(batch.column("text").to_pylist()) for h in hits(t, known, words, least, radius)]
                 ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.int64(), pa.int64(), pa.float64()), 1)]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
@@ -225,12 +232,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: floa
 def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.75, radius: int = 40, items_at_once: int = 20_000) -> DataFrame:
     """The documents that hold no benchmark item, with the same columns and no shuffle."""
     for block in _blocks(benchmark, items_at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(build(block, size))
+        shared = by_value(docs, build(block, size))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
+            words, known = WordHashes(), shared()
             for batch in batches:
-                clean = [not hits(t, shared.value, words, least, radius) for t in batch.column("text").to_pylist()]
+                clean = [not hits(t, known, words, least, radius) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = map_batches(docs, work, docs.schema)

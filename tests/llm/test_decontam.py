@@ -1,8 +1,15 @@
 """Leaks against brute force over all windows."""
 
+import os
 import random
+import subprocess
+import sys
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+from pyspark import cloudpickle
+
 from tallybook.llm import decontam
 
 
@@ -90,3 +97,36 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     got = decontam.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert [(r.item_id, r.first_word, r.similarity) for r in got] == [(1, 150_000, 1.0)]
+
+
+def test_a_text_full_of_items_takes_little_memory():
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 20, 30])))) for i in range(1_200)]
+    benchmark = decontam.build(items, 5)
+    text = " x ".join(t for _, t in items)
+    tracemalloc.start()
+    found = decontam.hits(text, benchmark, decontam.WordHashes(), 0.75, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(f[0], f[3]) for f in found] == [(i, 1.0) for i, _ in items] and peak < 300e6
+
+
+def test_pieces_change_nothing(monkeypatch):
+    docs, items = corpus(4)
+    benchmark = decontam.build([i for i in items if i[0] != 1], 5)
+    text = " ".join(t or "" for _, t in docs)
+    whole = decontam.hits(text, benchmark, decontam.WordHashes(), 0.75, 40)
+    monkeypatch.setattr(decontam, "SHINGLES_AT_ONCE", 7)
+    monkeypatch.setattr(decontam, "PAIRS_AT_ONCE", 5)
+    assert decontam.hits(text, benchmark, decontam.WordHashes(), 0.75, 40) == whole and whole
+
+
+def test_models_load_without_the_package(tmp_path):
+    from tallybook.llm import hmm, quality
+
+    values = [decontam.build([(1, "a b c d e f g")], 5), quality.train(np.random.default_rng(1).random((20, quality.FEATURES)), np.arange(20) % 2.0),
+              hmm.Model(np.ones(1), np.ones((1, 1)), np.ones((1, 2)), np.arange(1))]
+    (tmp_path / "v").write_bytes(cloudpickle.dumps(values))
+    code = "import pickle; print(len(pickle.load(open('v', 'rb')))); import sys; assert not any(m.startswith('tallybook') for m in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.strip() == "3"
