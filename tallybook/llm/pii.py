@@ -191,15 +191,14 @@ def _signs(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "." if m["dot"] else "@"
 
 
-def disguised_spans(text: str, base: list[Span], split: bool = False) -> list[Span]:
+def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only show after normalising, as spans of the source text.
 
     Three transducers run one after the other: characters (look-alikes, full width, other
     digits, invisible ones), spelled digits, at and dot signs.  Where spelled digits stand
     beside numerals, the steps run again with both as one number.  A span that nothing was
     rewritten in, or that lies inside a base span or an earlier added one, is not added;
-    wider ones stand beside the base spans.  Where invisible characters alone split an
-    identifier of which a base span is left, that one stays alone unless ``split`` is set.
+    wider ones stand beside the base spans.
     """
     characters = Normalised(text).rewritten(_characters(text))
     folded = characters.text.casefold()
@@ -221,24 +220,22 @@ def disguised_spans(text: str, base: list[Span], split: bool = False) -> list[Sp
             while start < end and text[end - 1] in " \t":
                 end -= 1
             if changed and start < end:
-                found.append((kind, start, end, steps[-1].text[first:last]))
+                found.append((kind, start, end))
     taken, out = [(s, e) for _, s, e in base], []
-    for kind, start, end, plain in found:
+    for kind, start, end in found:
         if any(s <= start and end <= e for s, e in taken):
             continue
-        if not split and any(s < end and start < e for _, s, e in base) and plain == "".join(c for c in text[start:end] if c not in _INVISIBLE):
-            continue
         out.append((kind, start, end))
         taken.append((start, end))
     return out
 
 
-def spans_of(text: str | None, split: bool = False) -> list[tuple[str, int, int, str]]:
+def spans_of(text: str | None) -> list[tuple[str, int, int, str]]:
     """All spans of a text (kind, start, end, found) by kind as listed, then start."""
     if not text:
         return []
     base = base_spans(text)
-    rows = [(*s, "base") for s in base] + [(*s, "disguised") for s in disguised_spans(text, base, split)]
+    rows = [(*s, "base") for s in base] + [(*s, "disguised") for s in disguised_spans(text, base)]
     return sorted(rows, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -247,7 +244,7 @@ def redacted(text: str | None) -> str | None:
     if not text:
         return text
     parts, at = [], 0
-    for kind, start, end, _ in sorted(spans_of(text, split=True), key=lambda s: (s[1], -s[2])):
+    for kind, start, end, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
         if start >= at:
             parts += [text[at:start], f"[{kind.upper()}]"]
         at = max(at, end)

@@ -45,7 +45,6 @@ def test_base_spans_are_those_of_the_plain_patterns(text):
     ("mail jo.doe (at) mail (dot) example.com now", "email", "jo.doe (at) mail (dot) example.com"),
     ("mail jo at mail dot org now", "email", "jo at mail dot org"),
     ("x jоhn@exаmple.com y", "email", "jоhn@exаmple.com"),
-    ("x jo​hn@example.com y", "email", None),
     ("call plus one two zero two five five five zero one four three today", "phone",
      "plus one two zero two five five five zero one four three"),
     ("card four one one one one one one one one one one one one one one one end", "card",
@@ -55,15 +54,13 @@ def test_base_spans_are_those_of_the_plain_patterns(text):
 ])
 def test_disguises(text, kind, source):
     spans = pii.spans_of(text)
-    if source is None:  # the part after the invisible character is a base span, which stays
-        assert [(s[0], text[s[1]:s[2]], s[3]) for s in spans] == [("email", "hn@example.com", "base")]
-        return
     assert [(s[0], text[s[1]:s[2]], s[3]) for s in spans] == [(kind, source, "disguised")]
 
 
 @pytest.mark.parametrize("text, kind, source, base", [
     ("x jоhn@example.com y", "email", "jоhn@example.com", "hn@example.com"),
     ("x john@example.cоm y", "email", "john@example.cоm", "john@example.c"),
+    ("x john​.smith@example.com y", "email", "john​.smith@example.com", ".smith@example.com"),
     ("x john@mail.example dot com y", "email", "john@mail.example dot com", "john@mail.example"),
     ("call +1 202 555 014３ now", "phone", "+1 202 555 014３", "+1 202 555 014"),
     ("ip 192 dot one six eight dot 0 dot 1 x", "ip", "192 dot one six eight dot 0 dot 1", None),
