@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import WORD, free_name
+from tallybook.llm.common import WORD, columns_of, free_name
 
 #: Leading hex digits of a document's key that name its slice of the key range.
 SLICE_DIGITS = 3
@@ -96,15 +96,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
         (F.col("epochs") * F.col("size") + cut).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, source, text and others) that the mix takes words of.
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word, as it stands."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
 
-    The same columns and ``mix_target`` (of the source, in words), ``mix_taken`` (words of
-    this document, repeats counted; the last document of a source may give only its first
-    words); where a given column has such a name, the added one gets underscores before it.
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: documents (doc_id, source, text and others), a row for each time one is taken.
+
+    The same columns and ``mix_epoch`` (1, 2, ...), ``mix_target`` (of the source, in words) and
+    ``mix_taken`` (words of this row); where a given column has such a name, the added one gets
+    underscores before it.  The last document of a source may give only its first words, and its
+    text ends there, so the words of a source's rows add up to the whole part of its target.
+    Documents without words are not taken.  A null source is a source of its own, repeated rows
+    count separately; a very long text is cut by its words like any other.
     A document is found again by its id, source and size; repeated rows are alike.
     """
-    source, size, copy, target, words = (free_name(docs, n) for n in ("mix_source", "mix_size", "mix_copy", "mix_target", "mix_taken"))
+    source, size, copy, epoch, target, words = (free_name(docs, n) for n in ("mix_source", "mix_size", "mix_copy", "mix_epoch", "mix_target", "mix_taken"))
     taken = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     # Rows that agree in all three are alike but for the one on the border: number them.
     same = Window.partitionBy("doc_id", source, size).orderBy(F.desc(words))
@@ -115,4 +124,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn(copy, F.row_number().over(mine))
     on = [rows["doc_id"].eqNullSafe(plan["plan_id"]), *(rows[c] == plan[c] for c in (source, size, copy))]
     given = [rows[f"`{c.replace('`', '``')}`"] for c in docs.columns]
-    return rows.join(plan, on).where(plan[words] > 0).select(*given, plan[target], plan[words])
+    found = rows.join(plan, on).where(plan[words] > 0).select(*given, rows[size], plan[target], plan[words])
+    found = found.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col(words) / F.col(size)))))
+    own = F.least(F.col(size), F.col(words) - (F.col(epoch) - 1) * F.col(size))
+    text = F.when(own < F.col(size), first_words(F.col("text"), own)).otherwise(F.col("text"))
+    return found.select(*[text.alias(c) if c == "text" else col for c, col in zip(docs.columns, columns_of(docs), strict=True)], epoch, target, own.alias(words))

@@ -60,10 +60,13 @@ def test_stages(spark, folder):
 
     mixed = corpus_pipeline.mixing_stage(spark, safe, folder)
     size = lambda t: len((t or "").encode().split())
-    taken, total = {}, 0
+    taken, total, texts = {}, 0, {}
+    for r in rows_of(safe):
+        texts.setdefault(r[0], []).append(r[1] or "")
     for r in rows_of(mixed):
-        taken.setdefault(r[3], [0, r[5]])[0] += r[6]
-        assert 0 < r[6] <= 2 * size(r[1])
+        taken.setdefault(r[3], [0, r[6]])[0] += r[7]
+        assert r[7] == size(r[1]) > 0 and r[5] in (1, 2) and r[4] == len(r[1])
+        assert any(r[1] == whole or whole.startswith(r[1]) and size(r[1]) < size(whole) for whole in texts[r[0]])
     total = sum(size(r[1]) for r in rows_of(safe))
     assert abs(sum(t for _, t in taken.values()) - 1.5 * total) < 1
     assert all(got == int(target) for got, target in taken.values())
@@ -84,13 +87,13 @@ def test_clashing_columns_pass_through(spark, folder):
     assert neardup.one_of_each(docs).columns == docs.columns
     assert decontam.without_leaks(docs, benchmark).count() == docs.count() - 1
     assert pii.redact_pii(docs).columns == docs.columns
-    assert corpus_pipeline.mixing_stage(spark, docs, folder).columns == [*docs.columns, "mix_target", "mix_taken"]
+    assert corpus_pipeline.mixing_stage(spark, docs, folder).columns == [*docs.columns, "mix_epoch", "mix_target", "mix_taken"]
 
 
 #: Names that the operators use inside or give to their results.
 CLASHES = (
     "id", "copy", "group", "node", "row_id", "row_copy", "path", "host", "p", "path_key", "path_rate", "Log_Ratio", "quality_score", "quality_kept",
-    "mix_source", "mix_size", "mix_copy", "mix_target", "mix_taken", "plan_id", "source_key")
+    "mix_source", "mix_size", "mix_copy", "mix_epoch", "mix_target", "mix_taken", "plan_id", "source_key")
 
 
 def test_every_given_column_keeps_its_values(spark, folder):
