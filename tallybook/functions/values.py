@@ -93,24 +93,33 @@ def micros_text(amount: Column) -> Column:
     return F.when(small, F.rint(F.when(small, amount) * 1_000_000).cast("bigint").cast("string")).otherwise(amount.cast("string"))
 
 
+#: Limbs of 20 bits of a sum: 1e24 in millionths has 100 bits.
+LIMBS = 5
+
+
 def exact_total(amount: Column) -> Column:
     """Sum as ``decimal(38,6)`` that does not depend on the order of the rows.
 
     The millionths are split into limbs of 20 bits, each step exact in floating point, and
-    added as three ``bigint`` sums, so that the partial aggregation stays in generated code
+    added as five ``bigint`` sums, so that the partial aggregation stays in generated code
     with fixed-width buffers (a decimal sum of this width does not).  Amounts up to
-    ``LARGEST`` fit; non-finite ones count as null.
+    ``LARGEST`` fit; non-finite ones count as null.  A limb's sum holds 8e12 rows, so only a
+    total beyond 1e32 does not fit.
     """
-    limb = float(1 << 20)
     value = F.rint(F.when(F.abs(amount) < LARGEST, amount) * 1_000_000)
-    top = F.floor(value / (limb * limb)).cast("double")
-    rest = value - top * (limb * limb)
-    middle = F.floor(rest / limb).cast("double")
-    sums = [F.sum(x.cast("bigint")).cast("decimal(19,0)") for x in (top, middle, rest - middle * limb)]
+    size, sign = F.abs(value), F.signum(value).cast("bigint")
+    limb = float(1 << 20)
+    # The remainder by a power of two and the quotient are exact.
+    limbs = [F.floor((size % limb ** (k + 1) if k < LIMBS - 1 else size) / limb**k) for k in reversed(range(LIMBS))]
+    sums = [F.sum(x * sign).cast("decimal(19,0)") for x in limbs]
     scale = F.lit(1 << 20).cast("decimal(7,0)")
-    high = (sums[0] * scale).cast("decimal(27,0)") + sums[1]
-    total = (high.cast("decimal(30,0)") * scale).cast("decimal(38,0)") + sums[2]
-    return (total.cast("decimal(32,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(38,6)")
+    high = sums[0].cast("decimal(32,0)")
+    for low in sums[1:-1]:
+        high = (high * scale).cast("decimal(32,0)") + low
+        high = high.cast("decimal(32,0)")
+    # A limb's unit and a millionth, as amounts.
+    unit, least = F.lit("1.048576").cast("decimal(7,6)"), F.lit("0.000001").cast("decimal(6,6)")
+    return ((high * unit).cast("decimal(38,6)") + (sums[-1] * least).cast("decimal(25,6)")).cast("decimal(38,6)")
 
 
 def cents(total: Column) -> Column:

@@ -2,6 +2,9 @@ import datetime
 import random
 
 import pytest
+from decimal import Context, Decimal
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import title_case
@@ -132,3 +135,16 @@ def test_large_amounts_are_added_exactly(spark):
     assert with_txn_id(ledger).select("txn_id").distinct().count() == 4
     rejects = {r["reason"]: r["n_rows"] for r in clean.clean_rejects(raw).collect()}
     assert rejects == {"unreadable amount": 1, "blank description": 1}
+
+
+def test_sums_of_the_largest_amounts(spark):
+    from tallybook.functions.values import exact_total
+
+    amounts = [9e23, -9e23, 0.01, 1e15 + 0.25, 923456789012345678901234.0, -0.000001, 5e-7, float("nan"), float("inf"), 1e24, None]
+    kept = [a for a in amounts if a is not None and abs(a) < 1e24]
+    for copies in (1, 20, 1_000_000):
+        df = spark.range(copies).select(F.explode(F.array(*[F.lit(a).cast("double") for a in amounts])).alias("a"))
+        want = sum(round(Fraction(a * 1_000_000.0)) for a in kept) * copies
+        assert df.agg(exact_total(F.col("a")).alias("t")).first()["t"] == Decimal(want).scaleb(-6, Context(prec=60))
+    one = spark.range(1_000_000).select(F.lit(9e23).alias("a")).agg(exact_total(F.col("a")).alias("t")).first()["t"]
+    assert one == Decimal(int(9e23 * 1e6) * 1_000_000).scaleb(-6, Context(prec=60))
