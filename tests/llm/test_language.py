@@ -49,6 +49,41 @@ def test_expected_counts():
     assert np.allclose(language.Segmenter(PIECES).expected(WORDS, weights, model), want)
 
 
+def test_long_words_beside_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = rng.random((2, len(PIECES)))
+    model /= model.sum(1, keepdims=True)
+    words = [*WORDS, b" " + b"abca" * 50_000, *(b" " + b"abc" * n for n in range(40)), b" a"]
+    segmenter, weights = language.Segmenter(PIECES), rng.random(len(WORDS) + 42)
+    got, counts = segmenter.log_likelihoods(words, model), segmenter.expected(words, weights, model[0])
+    assert np.allclose(got[: len(WORDS)], segmenter.log_likelihoods(WORDS, model)) and np.isfinite(got).all()
+    assert (got[len(WORDS)] < -50_000).all()
+    # All pieces together cover each byte of each word once.
+    bytes_covered = sum(len(p) * c for p, c in zip(PIECES, counts, strict=True))
+    assert np.isclose(bytes_covered, sum(len(w) * x for w, x in zip(words, weights, strict=True)))
+    # Slices and tables of other sizes give the same.
+    monkeypatch.setattr(language, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(language, "PLACES_AT_ONCE", 1_000)
+    assert np.allclose(segmenter.log_likelihoods(words, model), got)
+    assert np.allclose(segmenter.expected(words, weights, model[0]), counts)
+
+
+def test_languages_without_blanks_are_learned(spark):
+    """Texts of one long run each teach their language; copies of a text count once."""
+    rng = random.Random(5)
+    letters = {"en": "etaoinshr", "ja": "のにはをたがで日本語文"}
+    text = lambda lang: "".join(rng.choices(letters[lang], k=rng.randint(100, 400)))
+    labelled = [(text(lang), lang) for lang in ("en", "ja") for _ in range(20)]
+    labelled += [labelled[0]] * 300
+    path = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    languages, model = language.fit(spark.createDataFrame(labelled, "text string, lang string"), path, rounds=2)
+    once = language.fit(spark.createDataFrame(sorted(set(labelled)), "text string, lang string"), path, rounds=2)
+    assert languages == ["en", "ja"] and np.allclose(model, once[1])
+    asked = [(i, text(("en", "ja")[i % 2])) for i in range(20)] + [(21, "日本語" * 20_000)]
+    got = language.predict(spark.createDataFrame(asked, "doc_id bigint, text string"), path, languages, model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {i: ("en", "ja")[i % 2] for i, _ in asked}
+
+
 def test_held_out_texts(spark):
     rng = random.Random(3)
     syllables = {"de": ["ung", "sch", "keit", "ei", "ü"], "en": ["the", "ing", "wh", "ou", "ed"], "fr": ["eau", "é", "oi", "tre", "ç"]}
