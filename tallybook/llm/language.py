@@ -19,7 +19,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words remembered by a task, the longest of them in bytes, and words looked up at once.
 REMEMBERED, SHORT, AT_ONCE = 400_000, 64, 50_000
 #: Words summed at once, places of words in one table, and places between two rescalings.
-WORDS_AT_ONCE, PLACES_AT_ONCE, RESCALE = 8_192, 500_000, 8
+WORDS_AT_ONCE, PLACES_AT_ONCE, RESCALE = 4_096, 500_000, 16
 
 
 def read_pieces(path: str, longest: int = 8) -> list[bytes]:
@@ -120,7 +120,7 @@ class Segmenter:
         order = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])), np.int64)
         taken = 0
         while taken < len(order):
-            mine = order[taken : taken + max(1, PLACES_AT_ONCE // max(1, len(words[order[taken]])))]
+            mine = order[taken : taken + min(WORDS_AT_ONCE, max(1, PLACES_AT_ONCE // max(1, len(words[order[taken]]))))]
             taken += len(mine)
             counts += self._expected_of([words[i] for i in mine], np.asarray(weights)[mine], table)
         return counts[:-1]
@@ -130,7 +130,7 @@ class Segmenter:
         sizes, everyone, counts = len(self.tables), np.arange(len(words)), np.zeros(self.count + 1)
         if not len(flat):
             return counts
-        spans = self._spans(lengths)
+        spans, numbers = self._spans(lengths), None
         forward, scales = np.zeros((int(lengths[0]) + 1, len(words))), np.zeros((int(lengths[0]) + 1, len(words)))
         forward[0], scale = 1, np.zeros(len(words))
         window = np.zeros((sizes, len(words)))
@@ -151,14 +151,22 @@ class Segmenter:
         weights, scale = np.where(possible, weights, 0.0), np.zeros(len(words))
         window = np.zeros((sizes + 1, len(words)))
         for first, last, _ in reversed(spans):
-            numbers = self._places(flat, starts, lengths, first, last)
+            if len(spans) > 1:
+                numbers = self._places(flat, starts, lengths, first, last)
             for end in range(last, first, -1):
                 here = window[0] + (lengths == end)
                 found = numbers[:, end - first - 1]
                 before = np.maximum(end - 1 - np.arange(sizes), 0)
                 onward = table[found] * here
-                share = forward[before] * np.exp(scales[before] + scale - whole) * onward * weights
-                counts += np.bincount(found.ravel(), share.ravel(), self.count + 1)
+                share = forward[before] * onward
+                if end > RESCALE and (end - 1) % RESCALE < sizes:  # the places before lie on two scales
+                    share *= np.exp(scales[before] - scales[end - 1])
+                share *= weights * np.exp(scales[end - 1] + scale - whole)
+                some = np.flatnonzero(share)
+                if len(some) < 2_000:
+                    np.add.at(counts, found.ravel()[some], share.ravel()[some])
+                else:
+                    counts += np.bincount(found.ravel()[some], share.ravel()[some], self.count + 1)
                 window = np.concatenate([window[1:], np.zeros((1, len(words)))])
                 window[:-1] += onward
                 if end % RESCALE == 0:
