@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tallybook.functions.text import clean_description
 from tallybook.functions.values import parse_amount, parse_date, parse_side, stripped
 
 LEDGER_COLUMNS = ["date", "description", "amount", "transaction_type"]
+REJECT_REASONS = ["unreadable date", "unreadable amount", "zero amount", "blank description"]
 
 
 class MissingColumns(ValueError):
@@ -167,16 +168,19 @@ def _parsed(df: DataFrame) -> DataFrame:
     )
 
 
-def with_reject_reason(raw: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def with_reject_reason(
+    raw: DataFrame, aliases: dict[str, list[str]] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Parsed columns plus why a row is not in the clean ledger (null: it is)."""
-    parsed = _parsed(normalize_columns(raw, aliases))
+    parsed = _parsed(normalize_columns(raw, aliases, keep))
+    unreadable_date, unreadable_amount, zero, no_description = REJECT_REASONS
     blank = F.col("description").isNull() | (F.col("description") == "")
     return parsed.withColumn(
         "reason",
-        F.when(F.col("date").isNull(), "unreadable date")
-        .when(F.col("amount").isNull(), "unreadable amount")
-        .when(F.col("amount") == 0, "zero amount")
-        .when(blank, "blank description"),
+        F.when(F.col("date").isNull(), unreadable_date)
+        .when(F.col("amount").isNull(), unreadable_amount)
+        .when(F.col("amount") == 0, zero)
+        .when(blank, no_description),
     )
 
 
@@ -188,3 +192,22 @@ def clean_rejects(raw: DataFrame, aliases: dict[str, list[str]] | None = None) -
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
+
+
+def clean_ledger_observed(
+    raw: DataFrame, aliases: dict[str, list[str]] | None = None, keep: Sequence[str] = ()
+) -> tuple[DataFrame, Observation]:
+    """The clean ledger, and what its first action counts on the way: no second pass.
+
+    The observation holds the rows lost per reason, ``kept`` and ``rows`` (all of them) once an
+    action such as a write has run the whole ledger; reading it before waits for that action.
+    Cleaning has no shuffle, so when the action is the write itself the counting tasks are those
+    of its last stage: a task that is run again counts once.  An empty table counts zeros.
+    """
+    seen = Observation("cleaning")
+    judged = with_reject_reason(raw, aliases, keep)
+    counts = [F.count_if(F.col("reason") == reason).alias(reason) for reason in REJECT_REASONS]
+    kept = F.col("reason").isNull()
+    observed = judged.observe(seen, *counts, F.count_if(kept).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    ledger = observed.where(kept).transform(with_transaction_type)
+    return ledger.select(*LEDGER_COLUMNS, *keep), seen

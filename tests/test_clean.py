@@ -104,6 +104,25 @@ def test_rejects_are_counted_by_reason(spark):
     assert clean.clean_ledger(raw).count() == 1
 
 
+def test_drops_are_counted_while_the_ledger_is_written(spark, tmp_path):
+    raw = frame(spark, ["date", "description", "amount", "page"],
+                ("2026-01-01", "Opening Balance", "0.00", "1"), ("nope", "Ghost", "-10", "1"),
+                ("2026-01-02", " ", "-1", "2"), ("2026-01-02", None, "-1", "2"), ("2026-01-02", "x", "abc", "2"),
+                ("2026-01-02", "fine", "-20", "3"), ("2026-01-02", "fine", "-20", "3"), (None, None, None, None))
+    ledger, seen = clean.clean_ledger_observed(raw, keep=["page"])
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate inline") == 1
+    ledger.write.parquet(str(tmp_path / "ledger"))
+    assert seen.get == {"unreadable date": 2, "unreadable amount": 1, "zero amount": 1, "blank description": 2, "kept": 2, "rows": 8}
+    written = spark.read.parquet(str(tmp_path / "ledger"))
+    assert sorted(written.collect()) == sorted(clean.clean_ledger(raw, keep=["page"]).collect())
+    ledger.count()  # a later action does not count again
+    assert seen.get["rows"] == 8
+    nothing, none_seen = clean.clean_ledger_observed(raw.where("false"))
+    nothing.write.parquet(str(tmp_path / "nothing"))
+    assert set(none_seen.get.values()) == {0}
+
+
 def test_numeric_amounts_are_not_read_as_text(spark):
     raw = spark.createDataFrame([("2026-01-01", "x", 1.5e7)], "date string, payee string, amount double")
     assert clean.clean_ledger(raw).first()["amount"] == 1.5e7

@@ -317,6 +317,12 @@ def all_sql() -> dict[str, str]:
         "clean_rejects": f"""WITH {TYPED} SELECT CASE WHEN damage = 'date' THEN 'unreadable date' WHEN damage = 'amount' THEN 'unreadable amount'
               WHEN amount = 0 THEN 'zero amount' ELSE 'blank description' END AS reason, count(*) AS n_rows
             FROM typed WHERE damage <> '' OR amount = 0 GROUP BY 1""",
+        "clean_observed": f"""WITH {TYPED}, judged AS (SELECT CASE WHEN damage = 'date' THEN 'unreadable date'
+              WHEN damage = 'amount' THEN 'unreadable amount' WHEN amount = 0 THEN 'zero amount'
+              WHEN damage <> '' THEN 'blank description' ELSE 'kept' END AS reason FROM typed),
+            names AS (SELECT unnest(['unreadable date', 'unreadable amount', 'zero amount', 'blank description', 'kept', 'rows']) AS reason)
+            SELECT reason, (SELECT count(*) FROM judged AS j WHERE n.reason IN (j.reason, 'rows')) AS n_observed,
+              (SELECT count(*) FROM judged AS j WHERE j.reason = 'kept') AS n_written FROM names AS n""",
         "ledger_filter": f"""WITH {LEDGER} SELECT * FROM ledger WHERE (contains(lower(description), 'amazon') OR starts_with(lower(description), 'pvr'))
             AND category IN ('Shopping', 'Entertainment') AND transaction_type = 'debit'""",
         "where_metadata": f"""WITH {LEDGER} SELECT date, description, amount, category, strftime(date, '%Y-%m') AS month,

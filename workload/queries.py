@@ -286,6 +286,14 @@ def _(spark, sf):
     return clean.clean_rejects(fx.raw_ledger(spark, sf))
 
 
+@query("clean_observed")
+def _(spark, sf):
+    ledger, seen = clean.clean_ledger_observed(fx.raw_ledger(spark, sf))
+    n_written = materialize(ledger).count()
+    counts = [(reason, n, n_written) for reason, n in seen.get.items()]
+    return spark.createDataFrame(counts, "reason string, n_observed bigint, n_written bigint")
+
+
 @query("ledger_filter")
 def _(spark, sf):
     return filters.filter_ledger(
