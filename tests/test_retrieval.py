@@ -90,6 +90,37 @@ def test_answer_text(plans, hits):
         f"  [01] 2026-03-08  |  {'Swiggy Lunch':<45}  |  ₹{490.0:>10,.2f}  |  Food & Dining  |  debit")
 
 
+def test_listed_evidence_has_a_limit(plans, hits):
+    totals, ranked = answers.answer_totals(plans, hits), answers.evidence(hits)
+    first = answers.evidence(hits, limit=1)
+    assert first.orderBy("question_id").collect() == ranked.where("rank = 1").orderBy("question_id").collect()
+    assert first.schema["rank"].dataType == ranked.schema["rank"].dataType
+    whole = answers.answer_markdown(totals, ranked).collect()
+    one = answers.answer_markdown(totals, ranked, limit=1).collect()
+    assert sorted(one) == sorted(r for r in whole if r["section"] != 2 or r["position"] == 0)
+    none = answers.answer_markdown(totals, ranked, limit=0).where("question_id = 'swiggy'").orderBy("section", "position").collect()
+    assert [r["line"] for r in none][:4] == ["**Answer:** ₹910.00 across 2 transactions.", "", "**Transactions used:**", "_None_"]
+    assert sorted(answers.answer_markdown(totals, answers.evidence(hits, 10**6), 10**6).collect()) == sorted(whole)
+    with pytest.raises(ValueError):
+        answers.answer_markdown(totals, ranked, limit=-1)
+
+
+def test_lookups_state_how_many_rows_they_want(spark, statement):
+    asked = spark.createDataFrame(
+        [("a", "what did I buy", 3), ("b", "what did I buy", None), ("c", "what did I buy", 0), ("d", "what did I buy", 10**6),
+         ("e", "what did I buy", -4), ("f", "total", 1)], "question_id string, question string, n_results int")
+    planned = plan_questions(asked.drop("n_results")).join(asked.drop("question"), "question_id")
+    n = statement.count()
+    found = {r["question_id"]: r["count"] for r in retrieve.retrieve_batch(planned, statement, k=5).groupBy("question_id").count().collect()}
+    assert found == {"a": 3, "b": 5, "d": n, "f": n}
+    kinds, names = retrieve.distinct_plans(planned)
+    assert kinds.count() == names.select("plan_id").distinct().count() == 6
+    by_plan = {r["question_id"]: r["count"] for r in retrieve.retrieve_batch(kinds, statement, k=5).groupBy("question_id").count().collect()}
+    assert sorted(by_plan.values()) == sorted([3, 5, n, n])
+    none = retrieve.retrieve_nearest(planned.where("question_id IN ('c', 'e')"), statement)
+    assert none.count() == 0
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-3, 4, size=(300, 8)).astype(float)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallybook import vocab
 from workload import fixtures as fx
-from workload.queries import DEFAULT_DATE, FRAGMENTS
+from workload.queries import DEFAULT_DATE, FRAGMENTS, LISTED, N_RESULTS
 
 
 def _q(value) -> str:
@@ -152,6 +152,7 @@ ALL_HITS = f"""{INDEX}, {ALL_PLANS}, {LOOKUPS}, {ALL_COMPLETE},
 hits AS (SELECT * FROM complete_hits UNION ALL
          SELECT p.question_id, l.*, round(r.distance, 4), false FROM plans p JOIN lookup_rank r ON r.question = p.question AND r.rn <= {vocab.TOP_K}
          JOIN idx l ON l.txn_id = r.txn_id WHERE NOT p.wants_all)"""
+COUNTED_HITS = ALL_HITS.replace(f"r.question = p.question AND r.rn <= {vocab.TOP_K}", f"r.question = p.question AND r.rn <= coalesce({N_RESULTS.replace('question', 'p.question')}, {vocab.TOP_K})")
 ANSWERS = f"""
 sums AS (SELECT question_id, count(*) AS n, {_sum('CASE WHEN amount < 0 THEN -amount END')} AS spend,
                 {_sum('CASE WHEN amount >= 0 THEN amount END')} AS income FROM hits GROUP BY question_id),
@@ -261,6 +262,21 @@ def _raw_kept(condition: str) -> str:
     return f"WITH {TYPED} SELECT * FROM typed WHERE {condition}"
 
 
+def _markdown(listed: str = "") -> str:
+    return f"""WITH {ALL_HITS}, {ANSWERS},
+        opening AS (SELECT question_id, list_filter(['**Answer:** ₹' || format('{{:,.2f}}', headline_total) || ' across ' || count ||
+            CASE WHEN count = 1 THEN ' transaction.' ELSE ' transactions.' END,
+            CASE WHEN spend_total <> 0 AND income_total <> 0 THEN 'Spending ₹' || format('{{:,.2f}}', spend_total) || ' · Income ₹' ||
+              format('{{:,.2f}}', income_total) || ' · Net ₹' || format('{{:,.2f}}', net) || '.' END,
+            '', '**Transactions used:**', CASE WHEN count = 0 THEN '_None_' END], lambda x: x IS NOT NULL) AS ls FROM answers),
+        closing AS (SELECT question_id, ['', '**Confidence:** ' || confidence || ' — computed directly from ' ||
+            CASE WHEN complete THEN 'the complete matching set' ELSE 'a relevance-ranked sample' END || ' of transactions (no estimate).'] AS ls FROM answers)
+        SELECT question_id AS plan_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
+        UNION ALL SELECT question_id, 3, i - 1, ls[i] FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM closing)
+        UNION ALL SELECT question_id, 2, rank - 1, '- `' || cast(date AS varchar) || '` · ' || description || ' · ' ||
+          CASE WHEN transaction_type = 'credit' THEN '+' ELSE '−' END || '₹' || format('{{:,.2f}}', abs(amount)) || ' · _' || category || '_' FROM evidence {listed}"""
+
+
 def all_sql() -> dict[str, str]:
     cleaned_cols = "date, description, amount, transaction_type"
     accent = "description || ' É' AS description"
@@ -385,18 +401,9 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT p.question_id, {_d('coalesce(CASE WHEN spend > 0 THEN spend ELSE income END, 0)')}, {_d('coalesce(spend, 0)')},
               {_d('coalesce(income, 0)')}, {_d('coalesce(income, 0) - coalesce(spend, 0)')}, cast(coalesce(n, 0) AS bigint), false, 'Medium'
             FROM plans p LEFT JOIN lookup_sums s ON s.question = p.question WHERE NOT p.wants_all""",
-        "answer_markdown": f"""WITH {ALL_HITS}, {ANSWERS},
-            opening AS (SELECT question_id, list_filter(['**Answer:** ₹' || format('{{:,.2f}}', headline_total) || ' across ' || count ||
-                CASE WHEN count = 1 THEN ' transaction.' ELSE ' transactions.' END,
-                CASE WHEN spend_total <> 0 AND income_total <> 0 THEN 'Spending ₹' || format('{{:,.2f}}', spend_total) || ' · Income ₹' ||
-                  format('{{:,.2f}}', income_total) || ' · Net ₹' || format('{{:,.2f}}', net) || '.' END,
-                '', '**Transactions used:**', CASE WHEN count = 0 THEN '_None_' END], lambda x: x IS NOT NULL) AS ls FROM answers),
-            closing AS (SELECT question_id, ['', '**Confidence:** ' || confidence || ' — computed directly from ' ||
-                CASE WHEN complete THEN 'the complete matching set' ELSE 'a relevance-ranked sample' END || ' of transactions (no estimate).'] AS ls FROM answers)
-            SELECT question_id AS plan_id, 1 AS section, i - 1 AS position, ls[i] AS line FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM opening)
-            UNION ALL SELECT question_id, 3, i - 1, ls[i] FROM (SELECT question_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM closing)
-            UNION ALL SELECT question_id, 2, rank - 1, '- `' || cast(date AS varchar) || '` · ' || description || ' · ' ||
-              CASE WHEN transaction_type = 'credit' THEN '+' ELSE '−' END || '₹' || format('{{:,.2f}}', abs(amount)) || ' · _' || category || '_' FROM evidence""",
+        "answer_markdown": _markdown(),
+        "answer_markdown_limited": _markdown(f"WHERE rank <= {LISTED}"),
+        "answer_counted": f"WITH {COUNTED_HITS}, {ANSWERS} SELECT question_id AS plan_id, * EXCLUDE (question_id) FROM answers",
         "prompt_context": f"""WITH {ALL_HITS}, {ANSWERS},
             listed AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN complete THEN amount ELSE distance END, txn_id) AS rank FROM evidence),
             opening AS (SELECT a.question_id, CASE WHEN a.count = 0 THEN ['No relevant transactions found.'] ELSE

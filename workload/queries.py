@@ -32,6 +32,10 @@ from workload import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Transactions an answer text lists, and the number of rows that a lookup asks for.
+LISTED = 5
+N_RESULTS = "CASE WHEN length(question) % 3 > 0 THEN length(question) % 26 END"
+
 FRAGMENTS = [
     "Dmart", "D-Mart", "Uber", "Netflix", "Mutual Fund Sip", "Swiggy", "Zomato", "Cult.Fit",
     "Apollo Pharmacy", "Amazon.In", "Bescom", "Google One", "Indian Oil", "Atm Withdrawal",
@@ -517,6 +521,20 @@ def _(spark, sf):
     return _by_plan(answers.answer_markdown(answers.answer_totals(kinds, hits), answers.evidence(hits)))
 
 
+@query("answer_markdown_limited")
+def _(spark, sf):
+    kinds, _, hits = _all_hits(spark, sf)
+    ranked = answers.evidence(hits, limit=LISTED)
+    return _by_plan(answers.answer_markdown(answers.answer_totals(kinds, hits), ranked, limit=LISTED))
+
+
+@query("answer_counted")
+def _(spark, sf):
+    """Lookups that state how many rows they want: a number, or nothing for the usual one."""
+    kinds = _asked(spark, sf)[0].withColumn("n_results", F.expr(N_RESULTS))
+    return _by_plan(answers.answer_totals(kinds, retrieve.retrieve_batch(kinds, _index(spark, sf))))
+
+
 @query("prompt_context")
 def _(spark, sf):
     kinds, _, hits = _all_hits(spark, sf)
