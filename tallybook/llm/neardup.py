@@ -95,25 +95,126 @@ def inverted_lists(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
         F.col("s.value").alias("value"), "num", "weight")
 
 
-def comparison_units(lists: DataFrame, block: int) -> DataFrame:
-    """(unit, side, num): which sets are compared with which.
+def groups_of_lists(lists: DataFrame) -> DataFrame:
+    """(leader, num, n): sets that may be similar, in groups of ``n``; in the shared folder.
 
     Each list is led by its set of the largest weight; all lists of a leader make one
-    group, so sets that share many values meet once.  A group of more than about ``block``
-    sets is cut into blocks, and each pair of blocks is a unit: no task holds a whole
-    group, and no pair is a row.
+    group, so sets that share many values meet once.
     """
     leaders = lists.groupBy("value").agg(F.max(F.struct("weight", "num"))["num"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = lists.select("value", "num").join(leaders.select("value", "leader"), "value").select("leader", "num").distinct()
-    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "leader").withColumn("mine", F.expr("cast(pmod(xxhash64(num), blocks) as int)"))
-    other = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return materialize(members.join(members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leader"))
+
+
+def _unit(*parts: Column | str) -> Column:
+    return F.concat_ws("-", *parts).alias("unit")
+
+
+def _whole_units(groups: DataFrame, name: str) -> DataFrame:
+    """(unit, side, num): each group one unit, whose members are all compared with each other."""
+    return groups.where("n > 1").select(_unit(F.lit(name), "leader"), F.lit(0).alias("side"), "num")
+
+
+def _block_units(groups: DataFrame, block: int, name: str) -> DataFrame:
+    """(unit, side, num): groups cut into blocks; each pair of blocks is a unit, no pair is a row."""
+    blocks = groups.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    blocks = blocks.withColumn("mine", F.expr("cast(pmod(xxhash64(num), blocks) as int)"))
+    other = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     return other.select(
-        F.concat_ws("-", "leader", low, high).alias("unit"),
+        _unit(F.lit(name), "leader", low, high),
         F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2).alias("side"), "num")
 
 
+#: What a set is to the center of its group.
+LINKED, NEAR, FAR = 0, 1, 2
+
+
+def _met_center(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Groups (leader, num, n, center) to ``leader, center, num, state``; in the shared folder.
+
+    Pieces of a group meet their center in tasks of their own, by the full sets.  Distances
+    (one less the similarity) obey the triangle inequality: a set whose distance from the
+    center is more than twice the linking distance is ``FAR`` and not similar to any set
+    that is linked with the center.
+    """
+    groups = groups.withColumn("pieces", F.ceil(F.col("n") / block).cast("int"))
+    piece = F.when(F.col("num") == F.col("center"), F.expr("sequence(0, pieces - 1)")).otherwise(F.array(F.expr("cast(pmod(xxhash64(num), pieces) as int)")))
+    rows = groups.withColumn("piece", F.explode(piece)).select(
+        _unit("leader", "piece"), "leader", "center", (F.col("num") != F.col("center")).cast("int").alias("side"), "num")
+    rows = rows.join(_full_sets(rows, docs, classes, size), "num").repartition("unit").sortWithinPartitions("unit", "side", "num")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, middle, last = None, None, None
+        for batch in batches:
+            out = []
+            for name, leader, center, side, num, full in zip(
+                    *(batch.column(c).to_pylist() for c in ("unit", "leader", "center", "side", "num", "full")), strict=True):
+                found = np.frombuffer(full, np.uint64)
+                if name != unit:  # a unit begins with its center
+                    unit, middle, last = name, found, num
+                elif num != last:  # repeated rows give a set twice
+                    last = num
+                    both = len(np.intersect1d(middle, found, assume_unique=True))
+                    union = len(middle) + len(found) - both
+                    state = LINKED if 100 * both >= percent * union else FAR if 100 * both < (2 * percent - 100) * union else NEAR
+                    out.append((leader, center, num, state))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leader", "center", "num", "state"])
+
+    kept = rows.select("unit", "leader", "center", "side", "num", "full")
+    return materialize(map_batches(kept, work, "leader bigint, center bigint, num bigint, state bigint"))
+
+
+def _units_of_near(states: DataFrame, block: int, name: str) -> DataFrame:
+    """(unit, side, num): sets neither linked with the center nor far, with all of their group."""
+    near = F.col("state") == NEAR
+    sizes = states.groupBy("leader").agg(F.count_if(near).alias("n"), F.count_if(~near).alias("n_other")).where("n > 0")
+    rows = states.join(sizes, "leader").withColumn("near", near)
+    count = lambda n: F.ceil(F.col(n) / block).cast("int")
+    rows = rows.withColumns({"blocks": count("n"), "other_blocks": count("n_other")})
+    rows = rows.withColumn("mine", F.expr("cast(pmod(xxhash64(num), if(near, blocks, other_blocks)) as int)"))
+    rows = rows.withColumn("met", F.when(F.col("near"), F.col("other_blocks")).otherwise(F.col("blocks"))).where("met > 0")
+    rows = rows.withColumn("met", F.explode(F.expr("sequence(0, met - 1)")))
+    across = rows.select(
+        _unit(F.lit(name + "x"), "leader", F.when(F.col("near"), F.col("mine")).otherwise(F.col("met")), F.when(F.col("near"), F.col("met")).otherwise(F.col("mine"))),
+        F.when(F.col("near"), 1).otherwise(2).alias("side"), "num")
+    among = states.where(near).join(sizes.select("leader", "n"), "leader").where("n > 1")
+    return _block_units(among, block, name + "n").union(across)
+
+
+def large_groups(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, block: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Groups (leader, num, n) to links (a, b) with centers, and units that are left to compare.
+
+    All sets meet the center of their group.  Those linked with it are joined and need not
+    meet each other; far ones meet only each other, around a center of their own; what lies
+    between meets everyone.  Near copies of one text so cost their number, not its square.
+    What is still a large group after some rounds is compared in blocks.
+    """
+    spark = groups.sparkSession
+    links, units = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "unit string, side int, num bigint")
+    left = groups.withColumn("center", F.col("leader"))
+    for turn in range(rounds):
+        if left.isEmpty():
+            return links, units
+        states = _met_center(left, docs, classes, size, percent, block)
+        links = links.union(states.where(F.col("state") == LINKED).select(F.col("center").alias("a"), F.col("num").alias("b")))
+        far = states.where(F.col("state") == FAR).select("leader", "num")
+        next_ = far.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.max_by("num", F.xxhash64("num")).alias("center"))
+        far = materialize(far.join(next_, "leader"))
+        units = units.union(_units_of_near(states, block, f"{turn}")).union(_whole_units(far.where(F.col("n") <= block), f"{turn}f"))
+        left = far.where(F.col("n") > block)
+    return links, units.union(_block_units(left, block, "b"))
+
+
+def links_of_lists(lists: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int, block: int) -> DataFrame:
+    """(a, b): links that join all similar sets, each confirmed on the full sets."""
+    groups = groups_of_lists(lists)
+    links, units = large_groups(groups.where(F.col("n") > block), docs, classes, size, percent, block)
+    units = materialize(units.union(_whole_units(groups.where(F.col("n") <= block), "w")))
+    return links.union(verified_links(units, docs, classes, size, sketch, percent))
+
+
 def _links_of_unit(nodes: list[int], sides: list[int], sets: list[np.ndarray], sketch: int, percent: int) -> list[tuple[int, int]]:
     """What similar pairs join in a unit: each joined set with the smallest one it is joined with.
 
@@ -160,13 +261,13 @@ def _links_of_unit(nodes: list[int], sides: list[int], sets: list[np.ndarray], s
     return [(least[top(i)], nodes[i]) for i in range(n) if least[top(i)] != nodes[i]]
 
 
-def verified_links(units: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int) -> DataFrame:
-    """(a, b): sets that the units' links join, each link confirmed on the full sets.
+def _full_sets(asked: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(num, full): the whole sets of the numbers in ``asked``.
 
     Only the texts of sets that are compared are read again.  They are found by a merge
     join at any size, so that plan and cost are alike for small and large inputs.
     """
-    asked = units.select("num").distinct().join(classes.select("num", "node", "name"), "num")
+    asked = asked.select("num").distinct().join(classes.select("num", "node", "name"), "num")
     wanted = asked.select(F.col("name").alias("id")).distinct().hint("merge")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +278,12 @@ def verified_links(units: DataFrame, docs: DataFrame, classes: DataFrame, size:
                 [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "full"])
 
     sets = map_batches(docs.join(wanted, "id", "left_semi").select("text"), full, "node binary, full binary")
-    sets = sets.join(asked.select("num", "node"), "node").select("num", "full")
+    return sets.join(asked.select("num", "node"), "node").select("num", "full")
+
+
+def verified_links(units: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int) -> DataFrame:
+    """(a, b): sets that the units' links join, each link confirmed on the full sets."""
+    sets = _full_sets(units, docs, classes, size)
     rows = units.join(sets, "num").repartition("unit").sortWithinPartitions("unit", "num")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +345,7 @@ def resolved(rows: DataFrame, size: int, percent: int, sketch: int, block: int)
     filled = sets.where("n_shingles > 0")
     classes = set_classes(filled)
     lists = materialize(inverted_lists(classes, sketch, percent))
-    units = materialize(comparison_units(lists, block))
-    links = verified_links(units, rows, classes, size, sketch, percent)
+    links = materialize(links_of_lists(lists, rows, classes, size, sketch, percent, block))
     names = classes.select("num", "node", "name")
     found = components(links, names.select("num", "name"))
     named = names.join(found, "num", "left").select("node", F.coalesce("label", F.struct("name", "num")).alias("label"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallybook.llm.neardup import near_duplicates
+from tallybook.llm.neardup import groups_of_lists, inverted_lists, large_groups, near_duplicates, set_classes, sketches
 
 
 def brute(rows):
@@ -68,6 +68,43 @@ def test_same_as_brute_force(spark, seed, block):
     assert any(r[0] != r[2] for r in got)
 
 
+def template(n, seed=5):
+    """Near copies of two texts, a third of them far from both, all with one passage."""
+    rng = random.Random(seed)
+    text = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    passage, bases, rows = text(60), (text(200), text(200)), []
+    for i in range(n):
+        w = list(bases[i % 2]) if i % 3 else text(rng.randint(5, 200))
+        for _ in range(rng.choice((1, 2, 4, 7, 11))):
+            w[rng.randrange(len(w))] = rng.choice(("x", "y", "z")) + str(rng.randrange(999))
+        rows.append((i, " ".join(passage + w)))
+    return rows
+
+
+def test_large_groups_meet_their_centers(spark):
+    rows = template(300)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = sorted((tuple(r) for r in near_duplicates(df, block=12).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_near_copies_of_one_text_cost_their_number(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(5)
+    classes = set_classes(sketches(df, 5, 64).where("n_shingles > 0"))
+    groups = groups_of_lists(inverted_lists(classes, 64, 75))
+    links, units = large_groups(groups.where("n > 16"), df, classes, 5, 75, 16)
+    assert groups.where("n > 16").count() >= 500
+    assert links.count() >= 500 and units.count() <= links.count() / 4
+    assert {r["component_id"] for r in near_duplicates(df.withColumnRenamed("id", "doc_id"), block=16).collect()} == {0}
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(f"a{i % 50_000}" for i in range(120_000))
     df = spark.createDataFrame([(2, long), (1, long + " z"), (3, "q")], "doc_id bigint, text string")
