@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +64,13 @@ def sketches(docs: DataFrame, size: int, sketch: int) -> DataFrame:
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """One row per different set: ``num`` (a short number), ``node, name`` (smallest id), ``n_shingles, values``.
+    """One row per different set: ``num`` (a short number), ``node``, ``name`` (smallest id), ``copy`` (a text with it), ``n_shingles, values``.
 
     The table is written, so the numbers stay; copies meet after partial aggregation.
     """
     names = sets.groupBy("node").agg(F.min("id").alias("name"))
     first = sets.join(names, "node").where("id = name").dropDuplicates(["node"])
-    return materialize(first.select(F.monotonically_increasing_id().alias("num"), "node", "name", "n_shingles", "values"))
+    return materialize(first.select(F.monotonically_increasing_id().alias("num"), "node", "name", "copy", "n_shingles", "values"))
 
 
 def inverted_lists(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
@@ -169,8 +170,8 @@ def _met_center(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: in
 def _units_of_near(states: DataFrame, block: int, name: str) -> DataFrame:
     """(unit, side, num): sets neither linked with the center nor far, with all of their group."""
     near = F.col("state") == NEAR
-    sizes = states.groupBy("leader").agg(F.count_if(near).alias("n"), F.count_if(~near).alias("n_other")).where("n > 0")
-    rows = states.join(sizes, "leader").withColumn("near", near)
+    states = states.select("leader", "num", "state", F.col("n_near").alias("n"), (F.col("n") - F.col("n_near")).alias("n_other")).where("n > 0")
+    rows = states.withColumn("near", near)
     count = lambda n: F.ceil(F.col(n) / block).cast("int")
     rows = rows.withColumns({"blocks": count("n"), "other_blocks": count("n_other")})
     rows = rows.withColumn("mine", F.expr("cast(pmod(xxhash64(num), if(near, blocks, other_blocks)) as int)"))
@@ -179,11 +180,10 @@ def _units_of_near(states: DataFrame, block: int, name: str) -> DataFrame:
     across = rows.select(
         _unit(F.lit(name + "x"), "leader", F.when(F.col("near"), F.col("mine")).otherwise(F.col("met")), F.when(F.col("near"), F.col("met")).otherwise(F.col("mine"))),
         F.when(F.col("near"), 1).otherwise(2).alias("side"), "num")
-    among = states.where(near).join(sizes.select("leader", "n"), "leader").where("n > 1")
-    return _block_units(among, block, name + "n").union(across)
+    return _block_units(states.where(near), block, name + "n").union(across)
 
 
-def large_groups(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, block: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def around_centers(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, block: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups (leader, num, n) to links (a, b) with centers, and units that are left to compare.
 
     All sets meet the center of their group.  Those linked with it are joined and need not
@@ -191,28 +191,32 @@ def large_groups(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: i
     between meets everyone.  Near copies of one text so cost their number, not its square.
     What is still a large group after some rounds is compared in blocks.
     """
-    spark = groups.sparkSession
-    links, units = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "unit string, side int, num bigint")
-    left = groups.withColumn("center", F.col("leader"))
+    links, units, left = [], [], groups.withColumn("center", F.col("leader"))
     for turn in range(rounds):
-        if left.isEmpty():
-            return links, units
         states = _met_center(left, docs, classes, size, percent, block)
-        links = links.union(states.where(F.col("state") == LINKED).select(F.col("center").alias("a"), F.col("num").alias("b")))
-        far = states.where(F.col("state") == FAR).select("leader", "num")
-        next_ = far.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.max_by("num", F.xxhash64("num")).alias("center"))
-        far = materialize(far.join(next_, "leader"))
-        units = units.union(_units_of_near(states, block, f"{turn}")).union(_whole_units(far.where(F.col("n") <= block), f"{turn}f"))
+        links.append(states.where(F.col("state") == LINKED).select(F.col("center").alias("a"), F.col("num").alias("b")))
+        sizes = states.groupBy("leader").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == NEAR).alias("n_near"), F.count_if(F.col("state") == FAR).alias("n_far"),
+            F.max_by("num", F.when(F.col("state") == FAR, F.xxhash64("num"))).alias("next"))
+        states = materialize(states.drop("center").join(sizes.where("n > 1 AND n_near + n_far > 0"), "leader"))
+        # A group of one block is one unit: all that is left of it, or its far sets only.
+        one = states.where((F.col("n") <= block) & (F.col("n_near") > 0))
+        far = states.where((F.col("state") == FAR) & ((F.col("n") > block) | (F.col("n_near") == 0)))
+        far = far.select("leader", "num", F.col("n_far").alias("n"), F.col("next").alias("center"))
+        units += [_whole_units(one, f"{turn}o"), _whole_units(far.where(F.col("n") <= block), f"{turn}f"),
+                  _units_of_near(states.where(F.col("n") > block), block, f"{turn}")]
         left = far.where(F.col("n") > block)
-    return links, units.union(_block_units(left, block, "b"))
+        if left.isEmpty():
+            break
+    else:
+        units.append(_block_units(left, block, "b"))
+    return reduce(DataFrame.union, links), reduce(DataFrame.union, units)
 
 
 def links_of_lists(lists: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int, block: int) -> DataFrame:
     """(a, b): links that join all similar sets, each confirmed on the full sets."""
-    groups = groups_of_lists(lists)
-    links, units = large_groups(groups.where(F.col("n") > block), docs, classes, size, percent, block)
-    units = materialize(units.union(_whole_units(groups.where(F.col("n") <= block), "w")))
-    return links.union(verified_links(units, docs, classes, size, sketch, percent))
+    links, units = around_centers(groups_of_lists(lists), docs, classes, size, percent, block)
+    return links.union(verified_links(materialize(units), docs, classes, size, sketch, percent))
 
 
 def _links_of_unit(nodes: list[int], sides: list[int], sets: list[np.ndarray], sketch: int, percent: int) -> list[tuple[int, int]]:
@@ -267,18 +271,16 @@ def _full_sets(asked: DataFrame, docs: DataFrame, classes: DataFrame, size: int)
     Only the texts of sets that are compared are read again.  They are found by a merge
     join at any size, so that plan and cost are alike for small and large inputs.
     """
-    asked = asked.select("num").distinct().join(classes.select("num", "node", "name"), "num")
-    wanted = asked.select(F.col("name").alias("id")).distinct().hint("merge")
+    asked = asked.select("num").distinct().join(classes.select("num", F.col("name").alias("id"), "copy"), "num").hint("merge")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, known, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "full"])
+            sets = [shingle_set(t, known, size).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("num"), pa.array(sets, pa.binary())], names=["num", "full"])
 
-    sets = map_batches(docs.join(wanted, "id", "left_semi").select("text"), full, "node binary, full binary")
-    return sets.join(asked.select("num", "node"), "node").select("num", "full")
+    texts = docs.withColumn("copy", F.xxhash64("text")).join(asked, ["id", "copy"]).select("num", "text")
+    return map_batches(texts, full, "num bigint, full binary")
 
 
 def verified_links(units: DataFrame, docs: DataFrame, classes: DataFrame, size: int, sketch: int, percent: int) -> DataFrame:

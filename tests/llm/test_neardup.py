@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallybook.llm.neardup import groups_of_lists, inverted_lists, large_groups, near_duplicates, set_classes, sketches
+from tallybook.llm.neardup import around_centers, groups_of_lists, inverted_lists, near_duplicates, set_classes, sketches
 
 
 def brute(rows):
@@ -99,8 +99,8 @@ def test_near_copies_of_one_text_cost_their_number(spark):
     df = spark.createDataFrame(rows, "id bigint, text string").repartition(5)
     classes = set_classes(sketches(df, 5, 64).where("n_shingles > 0"))
     groups = groups_of_lists(inverted_lists(classes, 64, 75))
-    links, units = large_groups(groups.where("n > 16"), df, classes, 5, 75, 16)
-    assert groups.where("n > 16").count() >= 500
+    links, units = around_centers(groups, df, classes, 5, 75, 16)
+    assert groups.agg({"n": "max"}).first()[0] >= 500
     assert links.count() >= 500 and units.count() <= links.count() / 4
     assert {r["component_id"] for r in near_duplicates(df.withColumnRenamed("id", "doc_id"), block=16).collect()} == {0}
 
