@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.functions.vectors import candidate_scan, pair_distances
 from tallybook.operators import answers, evaluate, filters, identity, knn, ranking, reports, retrieve
 from tallybook.plans.questions import plan_questions
 
@@ -194,3 +196,37 @@ def test_answer_text_totals(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["v"] for r in df.select("t", answer_total(F.col("t")).alias("v")).collect()} == texts
     assert df.select(rupee_amounts(F.lit("₹ 1,2.5 ₹x ₹7")).alias("a")).first()["a"] == [12.5, 7.0]
+
+
+def test_equal_query_vectors_are_searched_once(spark, monkeypatch):
+    asked = [(f"q{i}", [float(i % 2), 1.0]) for i in range(40)]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    index = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id bigint, embedding array<float>")
+    searched = []
+
+    def scan(ids, matrix, *rest):
+        searched.append((ids.type, len(matrix)))
+        return candidate_scan(ids, matrix, *rest)
+
+    monkeypatch.setattr(knn, "candidate_scan", scan)
+    got = knn.nearest(index, queries, 3).collect()
+    assert searched == [(pa.int64(), 2)]  # numbers, not the queries' own ids, which may be long texts
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {
+        (f"q{i}", rank, vec) for i in range(40) for rank, vec in enumerate([1, 2, 3] if i % 2 else [0, 1, 2], 1)}
+
+
+def test_tiles_and_ties_give_the_nearest_rows():
+    rng = np.random.default_rng(3)
+    queries = rng.integers(0, 3, (2100, 4)).astype(float)
+    queries[7] = 0  # all rows are equally far
+    rows = rng.integers(0, 3, (2500, 4)).astype(float)
+    names = np.array([f"r{i}" for i in rng.permutation(len(rows))])
+    schema = pa.schema([("query", pa.int64()), ("distance", pa.float64()), ("name", pa.string())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[a:a + 1300]), pa.array(rows[a:a + 1300].tolist())], names=["name", "v"]) for a in (0, 1300)]
+    found = pa.Table.from_batches(list(candidate_scan(pa.array(range(2100)), queries, 5, "v", "name", schema)(iter(batches))))
+    got = list(zip(found["query"].to_pylist(), found["distance"].to_pylist(), found["name"].to_pylist(), strict=True))
+    for q in (0, 7, 2047, 2048, 2099):
+        far = pair_distances(np.repeat(queries[q:q + 1], len(rows), 0), rows)
+        best = sorted(zip(far.tolist(), names.tolist(), strict=True))[:5]
+        assert [(d, n) for i, d, n in got if i == q] == best
+    assert len(got) == 2100 * 5
