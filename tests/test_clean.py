@@ -167,3 +167,15 @@ def test_sums_of_the_largest_amounts(spark):
         assert df.agg(exact_total(F.col("a")).alias("t")).first()["t"] == Decimal(want).scaleb(-6, Context(prec=60))
     one = spark.range(1_000_000).select(F.lit(9e23).alias("a")).agg(exact_total(F.col("a")).alias("t")).first()["t"]
     assert one == Decimal(int(9e23 * 1e6) * 1_000_000).scaleb(-6, Context(prec=60))
+
+
+def test_parsing_runs_in_methods_that_the_jvm_compiles(spark):
+    own = spark.newSession()
+    raw = own.createDataFrame([("2026-01-31", "Shop", "-1.50")], "date string, description string, amount string")
+    assert clean.clean_ledger(raw).count() == 1
+    assert int(own.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+    stated = spark.newSession()
+    stated.conf.set("spark.sql.codegen.hugeMethodLimit", 9000)
+    raw = stated.createDataFrame([("2026-01-31", "Shop", "-1.50")], "date string, description string, amount string")
+    assert clean.clean_ledger(raw).count() == 1
+    assert int(stated.conf.get("spark.sql.codegen.hugeMethodLimit")) == 9000
