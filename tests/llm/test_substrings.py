@@ -1,10 +1,12 @@
 """Removed bytes against brute force over all windows."""
 
+import hashlib
 import random
 from collections import Counter
 
 import pytest
 
+from tallybook.llm import queries
 from tallybook.llm.substrings import remove_repeats
 
 
@@ -56,3 +58,20 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(df).collect()}
     assert got == {1: (400, 1), 2: (400, 1), 3: (401, 1)}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_query_goes_by_bytes_whatever_the_number_of_words(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda n, k: " ".join("".join(rng.choices("abcdefgh", k=k)) for _ in range(n))
+    passages = [words(60, 5), words(57, 6) + "z", words(57, 6) + "zz", words(20, 19) + "zz"]
+    assert [len(p) for p in passages] == [359, 399, 400, 401]
+    rows = []
+    for passage in passages:
+        for edge in "<>":  # no copy goes on beyond its passage
+            rows.append((len(rows), words(40, 7) + edge + passage + edge + words(40, 7)))
+    rows += [(8, None), (9, words(60, 5))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op10_remove_repeats"](spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+    assert got == [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute(rows, 400)]
+    assert [r[2] for r in got] == [0, 0, 0, 0, 400, 400, 401, 401, 0, 0]
