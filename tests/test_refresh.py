@@ -39,6 +39,19 @@ def test_a_change_rewrites_one_folder(spark, statement, tmp_path):
     assert sorted(sinks.read_index(spark, path).select(columns).toJSON().collect()) == sorted(sinks.read_index(spark, anew).toJSON().collect())
 
 
+def test_vectors_and_texts_are_made_where_they_are_written(spark, statement, tmp_path):
+    """Ledger columns alone move to their month's task; whole rows are not sorted by folder."""
+    ledger = statement.drop("txn_id")
+    index = sinks.build_index(spark.createDataFrame(ledger.collect(), ledger.schema))
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("ArrowEvalPython") < plan.index("RebalancePartitions")
+    moved = plan[plan.index("RebalancePartitions"):]
+    assert "txn_" not in moved and "EEEE" not in moved
+    sinks.write_index(index, str(tmp_path / "index"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert sinks.read_index(spark, str(tmp_path / "index")).count() == statement.count()
+
+
 def test_months_that_are_gone(spark, statement, tmp_path):
     path = str(tmp_path / "index")
     ledger = statement.drop("txn_id")
