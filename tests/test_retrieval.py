@@ -230,3 +230,26 @@ def test_tiles_and_ties_give_the_nearest_rows():
         best = sorted(zip(far.tolist(), names.tolist(), strict=True))[:5]
         assert [(d, n) for i, d, n in got if i == q] == best
     assert len(got) == 2100 * 5
+
+
+def test_winners_are_fetched_without_moving_the_index(spark):
+    rows = [(i, [float(i % 7), 1.0], f"t{i}") for i in range(40)]
+    index = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, title string")
+    asked = spark.createDataFrame([(r[0], r[1]) for r in rows[:9]], "query_id bigint, embedding array<float>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = knn.nearest(index, asked, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert len(got) == 27 and all(r["title"] == f"t{r['vec_id']}" for r in got)
+
+
+def test_a_row_that_is_no_number_hides_no_other():
+    rows = np.array([[1.0, 0.0], [np.nan, 1.0], [1.0, 0.1], [0.0, 1.0]])
+    schema = pa.schema([("query", pa.int64()), ("distance", pa.float64()), ("name", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(rows.tolist())], names=["name", "v"])
+    found = pa.Table.from_batches(list(candidate_scan(pa.array([5]), rows[:1], 2, "v", "name", schema)(iter([batch, batch]))))
+    assert set(found["name"].to_pylist()) == {0}
